@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.operators import regular, rolling, skew
+from skewline.operators import plausibility, regular, rolling, skew
 from skewline.sources.tables import table
 
 #: Period of the regular series: four hours.
@@ -65,7 +65,28 @@ def p4_series(spark: SparkSession, folder: str) -> DataFrame:
     return regular.regular_series(trades, "instrument_name", "timestamp", ["price_usd", "iv", "mark_price_usd"], PERIOD_MS)
 
 
-_USABLE = "{0} > 0 and not isnan({0})"
+P5_RULES = [
+    plausibility.Rule("iv", "neighbours", 3.0, 1 / 3, stuck=8),
+    plausibility.Rule("price_btc", "mark_price_btc", 4.0, 0.25, upper="case when upper(trim(callput)) = 'C' then 1.0 end"),
+    plausibility.Rule("amount", "median", 30.0),
+    plausibility.Rule("index_price_usd", "index_reference", 1.25, 0.75, stuck=8),
+]
+
+
+def p5_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible readings with their contract."""
+    trades = table(spark, folder, "btc_options_trades")
+    reference = plausibility.time_reference(trades.where("strike is not null"), "timestamp", "index_price_usd")
+    return plausibility.implausible_readings(
+        trades.where("strike is not null"), "instrument_name", "timestamp", "trade_id", P5_RULES, 30, ("index_reference", reference)
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible readings: trade and field."""
+    return p5_readings(spark, folder).select("trade_id", "field_name")
+
+
 _P1_DAYS = """
 with raw as (select source, date, loaded_at, case when btc_spot > 0 and not isnan(btc_spot) then btc_spot end as btc_spot,
     case when rv > 0 and not isnan(rv) then rv end as rv from cleaned_auxiliary where source is not null and date is not null),
@@ -94,7 +115,40 @@ def _p1_totals_sql() -> str:
     return f"{_P1_DAYS} select source, date, round(btc_spot, 4) as btc_spot, round(rv, 8) as rv, {', '.join(columns)} from days"
 
 
-_KEY = "expiration, strike, upper(trim(callput))"
+
+_P5 = """
+with t as (select trade_id, any_value(instrument_name) as s, any_value(timestamp) as ts, any_value(case when not isnan(iv) then iv end) as iv,
+        any_value(case when not isnan(price_btc) then price_btc end) as price, any_value(mark_price_btc) as mark,
+        any_value(case when not isnan(amount) then amount end) as amount,
+        any_value(case when not isnan(index_price_usd) then index_price_usd end) as idx, any_value(upper(trim(callput))) as side
+    from btc_options_trades where strike is not null and trade_id is not null and instrument_name is not null and timestamp is not null group by trade_id),
+u as (select * from (select *, count(*) over (partition by s) as n, median(amount) over (partition by s) as middle from t) where n >= 30),
+h as (select ts // 3600000 as step, median(idx) as m, count(*) as n from t where idx > 0 group by 1),
+r as (select step, {spans} from h),
+ref as (select step, coalesce({chosen}, m720) as m from r),
+iv1 as (select *, median(ln(iv)) over (partition by s order by ts, trade_id rows between 4 preceding and 4 following exclude current row) as near
+    from u where iv > 0),
+iv2 as (select *, median(case when near is null or abs(ln(iv) - near) < ln(2) then ln(iv) end) over (partition by s order by ts, trade_id
+    rows between 8 preceding and 8 following exclude current row) as clean from iv1),
+ivrun as (select *, count(*) over (partition by s, iv, g) as len from (select *, row_number() over (partition by s order by ts, trade_id)
+    - row_number() over (partition by s, iv order by ts, trade_id) as g from u where iv is not null)),
+idxrun as (select *, count(*) over (partition by s, idx, g) as len from (select *, row_number() over (partition by s order by ts, trade_id)
+    - row_number() over (partition by s, idx order by ts, trade_id) as g from u where idx is not null)),
+found as (
+    select trade_id, s, 'iv' as field_name from u where iv <= 0
+    union select trade_id, s, 'iv' from iv2 where abs(ln(iv) - clean) >= ln(3)
+    union select trade_id, s, 'iv' from ivrun where len >= 8
+    union select trade_id, s, 'price_btc' from u where price <= 0 or (side = 'C' and price > 1) or (mark > 0 and (price >= 4 * mark or price <= mark / 4))
+    union select trade_id, s, 'amount' from u where amount <= 0 or amount >= 30 * middle
+    union select trade_id, s, 'index_price_usd' from u where idx <= 0
+    union select trade_id, s, 'index_price_usd' from u join ref on ref.step = u.ts // 3600000 where idx >= 1.25 * m or idx <= 0.75 * m
+    union select trade_id, s, 'index_price_usd' from idxrun where len >= 8)
+"""
+_SPANS = (2, 6, 24, 72, 720)
+_P5 = _P5.replace(
+    "{spans}",
+    ", ".join(f"median(m) over (order by step range between {k} preceding and {k} following) as m{k}, sum(n) over (order by step range between {k} preceding and {k} following) as n{k}" for k in _SPANS),
+).replace("{chosen}", ", ".join(f"case when n{k} >= 9 then m{k} end" for k in _SPANS))
 
 SQL = {
     "p1_totals": _p1_totals_sql(),
@@ -122,6 +176,8 @@ SQL = {
             where strike is not null and price_usd is not null and not isnan(price_usd) and instrument_name is not null and timestamp is not null),
         n as (select *, lead(period) over (partition by instrument_name order by period) as next from k)
         select instrument_name, cast(unnest(range(period + 1, next)) * {PERIOD_MS} as bigint) as period_start_ms from n where next > period + 1""",
+    "p5_found": f"{_P5} select trade_id, field_name from found",
+    "p5_readings": f"{_P5} select trade_id, field_name, s as instrument_name from found",
 }
 
 QUERIES = {
@@ -132,4 +188,6 @@ QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p4_found": p4_found,
     "p4_series": p4_series,
+    "p5_found": p5_found,
+    "p5_readings": p5_readings,
 }
