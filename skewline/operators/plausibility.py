@@ -54,7 +54,7 @@ def time_reference(df: DataFrame, millis: str, value: str, step_ms: int = 3_600_
     """(``_step``, ``_reference``): what all sources show around each hour with rows.
 
     Hourly medians (approximate in rank by 1/1000, combined on the map side) are put in order; the median of the
-    hours around stands, from the narrowest of 2, 6, 24, 72 and 720 hours either way that hold ``least`` readings.
+    hours around stands, from the narrowest of 2, 6 and 24 hours either way that hold ``least`` readings (else 24).
     Every hour weighs the same there, so a burst of one source's bad readings doesn't. One row per hour with
     readings: at most 8,784 a year, whatever the input; the window runs over those.
     """
@@ -66,7 +66,7 @@ def time_reference(df: DataFrame, millis: str, value: str, step_ms: int = 3_600_
         .agg(F.percentile_approx("_v", 0.5, 1000).alias("_m"), F.count("_v").alias("_n"))
     )
     order = Window.orderBy("_step")
-    spans = (2, 6, 24, 72, 720)
+    spans = (2, 6, 24)
     wide = hours.select(
         "_step",
         *[F.percentile("_m", F.lit(0.5)).over(order.rangeBetween(-s, s)).alias(f"_m{s}") for s in spans],

@@ -125,7 +125,7 @@ with t as (select trade_id, any_value(instrument_name) as s, any_value(timestamp
 u as (select * from (select *, count(*) over (partition by s) as n, median(amount) over (partition by s) as middle from t) where n >= 30),
 h as (select ts // 3600000 as step, median(idx) as m, count(*) as n from t where idx > 0 group by 1),
 r as (select step, {spans} from h),
-ref as (select step, coalesce({chosen}, m720) as m from r),
+ref as (select step, coalesce({chosen}, m24) as m from r),
 iv1 as (select *, median(ln(iv)) over (partition by s order by ts, trade_id rows between 4 preceding and 4 following exclude current row) as near
     from u where iv > 0),
 iv2 as (select *, median(case when near is null or abs(ln(iv) - near) < ln(2) then ln(iv) end) over (partition by s order by ts, trade_id
@@ -144,7 +144,7 @@ found as (
     union select trade_id, s, 'index_price_usd' from u join ref on ref.step = u.ts // 3600000 where idx >= 1.25 * m or idx <= 0.75 * m
     union select trade_id, s, 'index_price_usd' from idxrun where len >= 8)
 """
-_SPANS = (2, 6, 24, 72, 720)
+_SPANS = (2, 6, 24)
 _P5 = _P5.replace(
     "{spans}",
     ", ".join(f"median(m) over (order by step range between {k} preceding and {k} following) as m{k}, sum(n) over (order by step range between {k} preceding and {k} following) as n{k}" for k in _SPANS),
