@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skewline.llm import leakage
+from skewline.llm import leakage, truncation
 from skewline.sources.tables import table
 
 
@@ -13,5 +13,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.truncated_texts(table(spark, folder, "documents")).where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of cut documents per source, of those with a text."""
+    return truncation.truncation_by_source(truncation.truncated_texts(table(spark, folder, "documents")))
+
+
+QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p8_sources": p8_sources}
 SQL: dict[str, str] = {}
