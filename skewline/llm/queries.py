@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skewline.llm import leakage, truncation
+from skewline.llm import leakage, packing, truncation
 from skewline.sources.tables import table
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of each stated capacity."""
+    counts = packing.token_counts(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.packed(counts, table(spark, folder, "pack_budgets"))
+
+
+def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and fill per capacity."""
+    return packing.packing_summary(p6_packed(spark, folder), table(spark, folder, "pack_budgets"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that carry a passage of an evaluation item."""
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -23,5 +34,5 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.truncated_texts(table(spark, folder, "documents")))
 
 
-QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p8_sources": p8_sources}
+QUERIES = {"p6_packed": p6_packed, "p6_summary": p6_summary, "p7_found": p7_found, "p8_found": p8_found, "p8_sources": p8_sources}
 SQL: dict[str, str] = {}
