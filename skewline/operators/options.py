@@ -12,7 +12,7 @@ def parsed_instrument(name: Column) -> dict[str, Column]:
     """expiration, strike and callput of names like BTC-28MAR25-60000-C; all null where the name has another form."""
     parts = F.split(name, "-")
     day = F.try_to_timestamp(parts[1], F.lit("dMMMyy")).cast("date")
-    strike = parts[2].try_cast("double")
+    strike = F.when(parts[2].rlike(r"^[0-9]+([.][0-9]+)?$"), parts[2].try_cast("double"))
     side = F.when(parts[3].isin("C", "P"), parts[3])
     good = (F.size(parts) == 4) & day.isNotNull() & strike.isNotNull() & side.isNotNull()
     return {"expiration": F.when(good, day), "strike": F.when(good, strike), "callput": F.when(good, side)}
