@@ -111,15 +111,9 @@ def regular_series(
     d0, d1, d2 = F.col("_d0"), F.col("_d1"), F.col("_d2")
     left = F.when(h0.isNotNull(), _slope(h0, d0, h1, d1)).when(h2.isNotNull(), _end_slope(h1, d1, h2, d2)).otherwise(d1)
     right = F.when(h2.isNotNull(), _slope(h1, d1, h2, d2)).when(h0.isNotNull(), _end_slope(h1, d1, h0, d0)).otherwise(d1)
-    # every row makes its own period and the empty ones up to the next row; a halo row just empty ones of this shard
-    first, end = F.col("_shard") * shard_periods, (F.col("_shard") + 1) * shard_periods - 1
-    start = F.when(F.col("_own"), F.col("_period")).otherwise(F.greatest(F.col("_period") + 1, first))
-    upto = F.least(F.coalesce(F.col("_period2") - 1, F.col("_period")), end)
-    grid = (
-        steps.withColumns({"_s1": left, "_s2": right, "_start": start, "_end": upto})
-        .where("_start <= _end")
-        .withColumn("_at", F.explode(F.sequence("_start", "_end")))
-    )
+    # every row of the shard makes its own period and the empty ones up to the next row, wherever that is
+    upto = F.coalesce(F.col("_period2") - 1, F.col("_period"))
+    grid = steps.where("_own").withColumns({"_s1": left, "_s2": right}).withColumn("_at", F.explode(F.sequence("_period", upto)))
     t = (F.col("_at") - F.col("_period")).cast("double") / h1
     cubic = (
         F.col("_value") * (t * t * t * 2 - t * t * 3 + 1)
