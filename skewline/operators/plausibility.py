@@ -171,7 +171,13 @@ def _judged(shape: Shape, group: np.ndarray, n: int, columns: dict[str, np.ndarr
         bad = there & (v <= 0)
         if r.upper:
             bad |= there & (v > columns[f"{r.name}__upper"])
-        place = np.flatnonzero(there & (v > 0))
+        stuck = np.zeros(len(v), bool)
+        if r.stuck:
+            place = np.flatnonzero(there)
+            stuck[place] = _stuck(group[place], v[place], r.stuck)
+            bad |= stuck
+        # stuck runs stand apart: they neither are tested for spikes nor show what is normal
+        place = np.flatnonzero(there & (v > 0) & ~stuck)
         g, x = group[place], np.log(v[place])
         if r.against == "median":
             middle = _group_median(group[there], v[there], n)[g]
@@ -192,9 +198,6 @@ def _judged(shape: Shape, group: np.ndarray, n: int, columns: dict[str, np.ndarr
                 base[found] = np.exp(_around(g, x, clean, found))
             ratio = v[place[found]] / base[found]
             bad[place[found]] |= ((r.up > 0) & (ratio >= r.up)) | (ratio <= r.down)
-        if r.stuck:
-            place = np.flatnonzero(there)
-            bad[place] |= _stuck(group[place], v[place], r.stuck)
         out[r.name] = bad
     return out
 

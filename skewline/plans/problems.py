@@ -177,12 +177,12 @@ u as (select * from (select *, count(*) over (partition by s) as n, median(amoun
 h as (select ts // 3600000 as step, median(idx) as m, count(*) as n from t where idx > 0 group by 1),
 r as (select step, {spans} from h),
 ref as (select step, coalesce({chosen}, m24) as m from r),
+ivrun as (select *, count(*) over (partition by s, iv, g) as len from (select *, row_number() over (partition by s order by ts, trade_id)
+    - row_number() over (partition by s, iv order by ts, trade_id) as g from u where iv is not null)),
 iv1 as (select *, median(ln(iv)) over (partition by s order by ts, trade_id rows between 4 preceding and 4 following exclude current row) as near
-    from u where iv > 0),
+    from ivrun where iv > 0 and len < 8),
 iv2 as (select *, median(case when near is null or abs(ln(iv) - near) < ln(2) then ln(iv) end) over (partition by s order by ts, trade_id
     rows between 8 preceding and 8 following exclude current row) as clean from iv1),
-ivrun as (select *, count(*) over (partition by s, iv, g) as len from (select *, row_number() over (partition by s order by ts, trade_id)
-    - row_number() over (partition by s, iv order by ts, trade_id) as g from u where iv is not null)),
 idxrun as (select *, count(*) over (partition by s, idx, g) as len from (select *, row_number() over (partition by s order by ts, trade_id)
     - row_number() over (partition by s, idx order by ts, trade_id) as g from u where idx is not null)),
 found as (
