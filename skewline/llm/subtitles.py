@@ -16,6 +16,9 @@ WORD = re.compile(r"[^\W_]+")
 
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 
+#: A word divided at the end of a line.
+DIVIDED = re.compile(r"(?<=[^\W\d_])[-\u00ad]\n(?=[^\W\d_])")
+
 #: Signs of UTF-8 read as a one-byte encoding.
 _MISREAD = ("Ã", "Â", "Ð", "Ñ", "Å", "Ä", "â€")
 
@@ -71,7 +74,8 @@ def folded(text: str) -> str:
 
 
 def cue_texts(text: str) -> list[str]:
-    """The texts of the cues in order, without numbers, time lines, tags, sounds, speakers and lines with web addresses."""
+    """The texts of the cues in order, without numbers, time lines, tags, sounds, speakers and lines with web addresses;
+    words divided between lines are whole."""
     body = lines_of(text)
     out = []
     for cue in CUE_BREAK.split(body):
@@ -82,6 +86,8 @@ def cue_texts(text: str) -> list[str]:
             cue = "\n".join(line for line in cue.split("\n") if not WEB.search(line))
         if "[" in cue or "(" in cue or "<" in cue or "{" in cue or "*" in cue:
             cue = MARKS.sub(" ", cue)
+        if "-\n" in cue or "\u00ad" in cue:
+            cue = DIVIDED.sub("", cue)
         if ":" in cue:
             cue = SPEAKER.sub(" ", cue)
         if cue:

@@ -115,11 +115,13 @@ def test_leaks_are_runs_of_twelve_words_under_layout_and_damage(spark):
         20: "\n".join([" ".join(fill(40_000)), " ".join(item[1][15:30])]),
         21: "<i>" + " ".join(f"<b>{w}</b>" for w in item[2][2:16]) + "</i>",
     }
+    divided = item[2][4:18]
+    texts[23] = cues([" ".join(divided[:3]) + f" {divided[3][:3]}-\n{divided[3][3:]} " + " ".join(divided[4:])])
     texts[22] = texts[10]
     docs = spark.createDataFrame([*texts.items(), (None, texts[10])], "doc_id bigint, text string").withColumn("item_id", F.lit(99))
     evals = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(99))
     got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(docs, evals).collect()}
-    assert got == {(10, 1), (22, 1), (11, 2), (12, 2), (15, 2), (16, 1), (16, 3), (20, 1), (21, 2)}
+    assert got == {(10, 1), (22, 1), (11, 2), (12, 2), (15, 2), (16, 1), (16, 3), (20, 1), (21, 2), (23, 2)}
     old, leakage.BLOCK = leakage.BLOCK, 2
     try:
         assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(docs, evals).collect()} == got
