@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skewline.functions import curves as C
-from skewline.operators import kernel, panel, surface
+from skewline.operators import kernel, options, panel, surface
 from skewline.plans.curve_queries import HIGH, LOW, POINTS, _against_average, _surfaces
 from skewline.plans.panels import fits
 from skewline.plans.trades import NUDGE, _FORWARD, _rounded, cross_section
@@ -26,8 +26,13 @@ def q_monotone_variance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_smile_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Smile parameters of each slice with four options or more."""
-    return surface.calibrated(cross_section(spark, folder), SLICE)
+    """Smile parameters per month and maturity bucket: few expiries here have several strikes, so slices pool a month's contracts."""
+    days = F.col("days_to_expiry")
+    bucket = F.when(days <= 14, "short").when(days <= 60, "middle").otherwise("long")
+    rows = cross_section(spark, folder).where(options.volatility_between() & options.within_moneyness() & (F.col("tau") > 0))
+    rows = rows.select(F.date_format("date", "yyyy-MM").alias("month"), bucket.alias("bucket"), "log_moneyness", "iv", "tau")
+    pooled = rows.withColumn("tau", F.avg("tau").over(Window.partitionBy("month", "bucket")))
+    return surface.calibrated(pooled, ["month", "bucket"])
 
 
 def q_smile_density(spark: SparkSession, folder: str) -> DataFrame:
