@@ -20,6 +20,8 @@ BEFORE, AFTER = RUN - 1, RUN + PIECE
 REACH = 48
 #: Least exact words of RUN on the diagonal of a hit for which the words around are aligned: half of an undamaged run cut in two.
 SUPPORT = 6
+#: A run of RUN words with BUDGET of them damaged is found at least this long before damaged words are compared.
+CLOSE = 7
 #: Place without a word among the items' words.
 EMPTY = -5
 #: Items indexed at once; more are taken in blocks.
@@ -213,12 +215,17 @@ def _aligned(items: Items, numbers, words, doc, cue, a, p):
     x = np.where(in_doc, x, 0)
     in_doc &= doc[x] == doc[a][:, None]
     in_item = items.item[y] == items.item[p][:, None]
-    for w in np.unique(x[in_doc & (numbers[x] == 0)]):
-        numbers[w] = items.nearest(words[w])
-    d = np.where(in_doc, numbers[x], 0)
     starts = in_doc & (cue[np.maximum(x - 1, 0)] != cue[x])
     ends = in_doc & (cue[np.minimum(x + 1, len(cue) - 1)] != cue[x])
-    longest = _chains(np.where(in_item, items.words[y], 0), d, starts, ends)
+    item = np.where(in_item, items.words[y], 0)
+    # words unknown to the items count as damaged first; only runs that come near RUN need the words behind the damage
+    longest = _chains(item, np.where(in_doc, np.where(numbers[x] == 0, -1, numbers[x]), 0), starts, ends)
+    unsure = np.flatnonzero((longest >= CLOSE) & (longest < RUN))
+    if len(unsure):
+        x, in_doc = x[unsure], in_doc[unsure]
+        for w in np.unique(x[in_doc & (numbers[x] == 0)]):
+            numbers[w] = items.nearest(words[w])
+        longest[unsure] = _chains(item[unsure], np.where(in_doc, numbers[x], 0), starts[unsure], ends[unsure])
     leaked = longest >= RUN
     return doc[a][leaked], items.item[p][leaked]
 
@@ -272,8 +279,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
 
     Method: pigeonhole. Of RUN words with BUDGET damaged, one of BUDGET + 1 pieces of PIECE words stands exactly:
     every piece of the items at any offset is looked up in the documents' words. Around each hit with SUPPORT exact
-    words on its diagonal, words unknown to the items are compared with the items' words by Myers' bit-parallel
-    distance (itself behind a pigeonhole index of word parts), and the longest run of successive words is found.
+    words on its diagonal the longest run of successive words is found, words unknown to the items counting as damaged; where it
+    comes near RUN, these are compared with the items' words by Myers' bit-parallel distance (itself behind a
+    pigeonhole index of word parts) and the run is found again.
 
     Scale: the items are the query set. Each block of BLOCK items goes with the task; documents are read once per block,
     where they lie, and nothing is shuffled. Null or empty texts and items shorter than RUN words have no leaks; a null id
