@@ -6,19 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_starts(spark: SparkSession, draws: int, blocks: int) -> DataFrame:
-    """(draw, block, u): a number below 2^31 for every block of every draw, from a linear congruential step of its index.
-
-    The start of a block in a series of n rows is u mod n. Starts are a table, so draws are the same wherever they are taken.
-    """
-    index = F.col("id")
-    return spark.range(draws * blocks).select(
-        (index / blocks).cast("bigint").alias("draw"), (index % blocks).cast("int").alias("block"), ((F.lit(1103515245).cast("bigint") * index + 12345) % 2147483648).alias("u")
-    )
+def block_start(index: Column, n: Column) -> Column:
+    """Start row of a block in a series of n rows: a linear congruential step of the block's number, below 2^31, mod n."""
+    return (F.lit(1103515245).cast("bigint") * index + 12345) % 2147483648 % n
 
 
 def bootstrap_means(df: DataFrame, key: str, order: str, value: str, block: int = 27, draws: int = 200, label: str | None = None) -> DataFrame:
@@ -48,12 +42,10 @@ def bootstrap_means(df: DataFrame, key: str, order: str, value: str, block: int
     totals = prefix.where("_i = _n - 1").select("_key", "_of", "_n", F.col("_s").alias("_total"), F.col("_c").alias("_count"))
     blocks = F.ceil(F.col("_n") / block).cast("int")
     most = totals.agg(F.max(blocks).alias("m")).scalar()
-    starts = block_starts(df.sparkSession, draws, 1).select("draw")
-    each = totals.join(F.broadcast(starts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))  # keys x draws x blocks are the work
-    index = F.col("draw") * most + F.col("block")
-    u = (F.lit(1103515245).cast("bigint") * index + 12345) % 2147483648
+    each = totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    start = block_start(F.col("draw") * most + F.col("block"), F.col("_n"))
     length = F.least(F.lit(block), F.col("_n") - F.col("block") * block)
-    each = each.withColumn("_a", u % F.col("_n")).withColumn("_b", F.col("_a") + length - 1)
+    each = each.withColumn("_a", start).withColumn("_b", F.col("_a") + length - 1)
     ends = F.array(
         F.struct((F.col("_a") - 1).alias("_i"), F.lit(-1).alias("_sign")),
         F.struct((F.col("_b") % F.col("_n")).alias("_i"), F.lit(1).alias("_sign")),
