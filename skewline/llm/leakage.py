@@ -15,13 +15,12 @@ from skewline.llm.subtitles import WORD, cue_texts, folded, lines_of, repaired
 #: Successive words of an item that make a leak, damaged words among them that are borne, words of an exact piece.
 RUN, BUDGET = 12, 3
 PIECE = RUN // (BUDGET + 1)
-#: Words around a hit that are compared: of the item, and of the document (with room for cues put in between).
+#: Words before and from a piece on among which SUPPORT is counted; items stand apart by as many.
 BEFORE, AFTER = RUN - 1, RUN + PIECE
-REACH = 48
 #: Least exact words of RUN on the diagonal of a hit for which the words around are aligned: half of an undamaged run cut in two.
 SUPPORT = 6
-#: A run of RUN words with BUDGET of them damaged is found at least this long before damaged words are compared.
-CLOSE = 7
+#: Exact pieces that are walked from at once.
+SEEDS = 50_000
 #: Place without a word among the items' words.
 EMPTY = -5
 #: Items indexed at once; more are taken in blocks.
@@ -107,26 +106,23 @@ class Items:
             key = key * self.base + words[i : i + n]
         return key
 
-    def nearest(self, word: str) -> int:
-        """Number of the item word that ``word`` is a damaged form of, -1 if there is none."""
+    def near(self, word: str) -> tuple[int, ...]:
+        """Numbers of all item words, other than ``word`` itself, that ``word`` may be a damaged form of."""
         found = self.known.get(word)
         if found is None:
-            best, found = 99, -1
-            if 3 <= len(word) <= 40:
-                seen = set()
-                for k in (1, 2):
-                    for size in range(len(word) - k, len(word) + k + 1):
-                        if size < 3 or (1 if size < 7 else 2) != k:
-                            continue
-                        cut = [size * i // (k + 1) for i in range(k + 2)]
-                        for i in range(k + 1):
-                            for shift in range(-k, k + 1):
-                                at = cut[i] + shift
-                                if at >= 0:
-                                    seen.update(self.parts.get((cut[i], word[at : at + cut[i + 1] - cut[i]]), ()))
-                for w in seen:
-                    if abs(len(w) - len(word)) <= edits_borne(w) and (d := myers(w, word)) <= edits_borne(w) and d < best:
-                        best, found = d, self.number[w]
+            seen = set()
+            for k in (1, 2):
+                for size in range(len(word) - k, len(word) + k + 1):
+                    if size < 3 or (1 if size < 7 else 2) != k:
+                        continue
+                    cut = [size * i // (k + 1) for i in range(k + 2)]
+                    for i in range(k + 1):
+                        for shift in range(-k, k + 1):
+                            at = cut[i] + shift
+                            if at >= 0:
+                                seen.update(self.parts.get((cut[i], word[at : at + cut[i + 1] - cut[i]]), ()))
+            seen.discard(word)
+            found = tuple(self.number[w] for w in seen if abs(len(w) - len(word)) <= edits_borne(w) and myers(w, word) <= edits_borne(w))
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = found
@@ -144,90 +140,121 @@ class Items:
         return at, self.place[np.repeat(low, many) + nth]
 
 
-def _chains(item: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Longest run of successive item words found in order in each document window.
-
-    item: (n, a) word numbers, 0 where there is none; doc: (n, b) word numbers, 0 for none and -1 for a word that no
-    item has. Words follow one another in the document, or whole cues lie between (from the end of one to the start
-    of another). Up to BUDGET - 1 words inside a run may be damaged beyond recognition.
-    """
-    n, b = doc.shape
-    layers = BUDGET
-    best = np.zeros((layers, n, b), np.int16)
-    lost = np.zeros((layers, n, b), np.int16)
-    longest = np.zeros(n, np.int16)
-    unknown = doc == -1
-    for i in range(item.shape[1]):
-        same = (doc == item[:, i : i + 1]) & (doc > 0)
-        new = np.zeros_like(best)
-        gone = np.zeros_like(lost)
-        for e in range(layers):
-            reach = np.maximum(best[e], lost[e])
-            step = np.zeros((n, b), np.int16)
-            step[:, 1:] = reach[:, :-1]
-            over = np.zeros((n, b), np.int16)
-            over[:, 1:] = np.maximum.accumulate(np.where(ends, reach, 0), axis=1)[:, :-1]
-            step = np.maximum(step, np.where(starts, over, 0))
-            new[e] = np.where(same, step + 1, 0)
-            if e + 1 < layers:
-                gone[e + 1] = np.where(unknown & (step > 0), step + 1, 0)
-        best, lost = new, gone
-        longest = np.maximum(longest, best.max(axis=(0, 2)))
-    return longest
-
-
-def leaks_of(items: Items, numbers: np.ndarray, words: list[str], doc: np.ndarray, cue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Texts:
+    """The words of a batch of documents, and the items, as they are walked in one direction."""
+
+    def __init__(self, items: Items, numbers: np.ndarray, codes: np.ndarray, near: np.ndarray, doc: np.ndarray, cue: np.ndarray, back: bool):
+        """codes: numbers of the different words; near: sorted code * base + number of the item words each may stand for."""
+        turned = slice(None, None, -1 if back else 1)
+        self.words, self.item, self.base = items.words[turned], items.item[turned], items.base
+        self.numbers, self.codes, self.near, self.doc = numbers[turned], codes[turned], near, doc[turned]
+        cue = cue[turned]
+        self.ends = np.concatenate((cue[1:] != cue[:-1], [True]))
+        # the cue starts of a document by the item words they may stand for, 0 for a word that no item has
+        at = np.flatnonzero(np.concatenate(([True], self.ends[:-1])) & (self.doc >= 0))
+        code = self.codes[at]
+        low = np.searchsorted(near, code * self.base)
+        nth, who = _spread(low, np.searchsorted(near, (code + 1) * self.base))
+        word = np.concatenate((self.numbers[at], near[nth] - code[who] * self.base))
+        at = np.concatenate((at, at[who]))
+        self.starts = np.sort((self.doc[at] * self.base + word) * len(self.doc) + at)
+
+    def later(self, x: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Range in ``starts`` of the cues behind the next word of the document of ``x`` that start with ``word``."""
+        key = (self.doc[x] * self.base + word) * len(self.doc)
+        low = np.searchsorted(self.starts, key + x + 2)
+        return low, np.maximum(low, np.searchsorted(self.starts, key + len(self.doc)))
+
+    def reached(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(n, BUDGET + 1): item words found in order behind (``at``, ``place``), by the damaged words among them.
+
+        Words follow one another in the document, or lie at the start of any later cue where one ends. A word that no item
+        has is a damaged form of the item word it stands beside if Myers' distance bears that; else it takes of the
+        budget, as does an item word that is a damaged form of another.
+        """
+        best = np.zeros((len(at), BUDGET + 1), np.int64)
+        todo = (np.arange(len(at)), at, place, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+        jumped = False
+        while len(todo[0]):
+            left = []
+            while len(todo[0]):
+                if jumped:
+                    todo = self._judged(at, place, best, *todo)
+                h, x, y, used, k = todo
+                jumped = True
+                end = self.ends[x]
+                left.append(tuple(c[end] for c in todo))
+                todo = (h, x + 1, y + 1, used, k + 1)
+            h, x, y, used, k = np.unique(np.stack([np.concatenate(c) for c in zip(*left, strict=True)]), axis=1)
+            todo, jumped = self._jumps(h, x, y, used, k), True
+        return np.maximum.accumulate(best, axis=1)
+
+    def _jumps(self, h, x, y, used, k):
+        inside = self.words[y + 1] > 0
+        h, x, y, used, k = (c[inside] for c in (h, x, y, used, k))
+        out = []
+        for word, some in ((self.words[y + 1], slice(None)), (np.zeros(len(y), np.int64), used < BUDGET)):
+            nth, who = _spread(*self.later(x[some], word[some]))
+            out.append((h[some][who], self.starts[nth] % len(self.doc), y[some][who] + 1, used[some][who], k[some][who] + 1))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _judged(self, at, place, best, h, x, y, used, k):
+        """Of the states those whose last word may stand for the item's; the longest that end in a found word are noted."""
+        good = (self.doc[np.minimum(x, len(self.doc) - 1)] == self.doc[at[h]]) & (self.item[np.minimum(y, len(self.item) - 1)] == self.item[place[h]])
+        h, x, y, used, k = (c[good] for c in (h, x, y, used, k))
+        word, number = self.words[y], self.numbers[x]
+        same = number == word
+        key = self.codes[x] * self.base + word
+        damaged = ~same & (self.near[np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)] == key) if len(self.near) else np.zeros(len(h), bool)
+        unknown = number == 0
+        used = used + ~(same | (damaged & unknown))
+        good = (same | damaged | unknown) & (used <= BUDGET)
+        found = good & (same | damaged)
+        np.maximum.at(best, (h[found], used[found]), k[found])
+        good &= k < RUN
+        return tuple(c[good] for c in (h, x, y, used, k))
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, i) of each n in the range from low[i] to high[i]."""
+    many = high - low
+    return np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), np.repeat(np.arange(len(low)), many)
+
+
+def leaks_of(items: Items, numbers: np.ndarray, words: list[str], doc: np.ndarray, cue: np.ndarray, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(document, item) of each leak among the words of a batch of documents, in order."""
-    at, place = items.hits(numbers)
-    # exact words beside the hit on the same diagonal, the best RUN of them
-    out_d, out_i = [], []
-    for part in range(0, len(at), 200_000):
-        a, p = at[part : part + 200_000], place[part : part + 200_000]
-        offset = np.arange(-BEFORE, AFTER)
-        equal = numbers[a[:, None] + offset] == items.words[p[:, None] + offset]
-        total = np.concatenate((np.zeros((len(a), 1), np.int16), np.cumsum(equal, axis=1, dtype=np.int16)), axis=1)
-        support = (total[:, RUN:] - total[:, :-RUN]).max(axis=1)
-        good = np.flatnonzero(support >= SUPPORT)
-        if not len(good):
-            continue
-        # of hits on one diagonal side by side the first and every PIECE-th is enough: their windows overlap by RUN
-        a, p = a[good], p[good]
-        order = np.lexsort((a, a - p))
-        a, p = a[order], p[order]
-        run = np.cumsum(np.concatenate(([True], (np.diff(a - p) != 0) | (np.diff(a) > 1))))
-        nth = np.arange(len(a)) - np.searchsorted(run, run, "left")
-        chosen = nth % (PIECE + 1) == 0
-        a, p = a[chosen], p[chosen]
-        for cut in range(0, len(a), 4_000):
-            d, i = _aligned(items, numbers, words, doc, cue, a[cut : cut + 4_000], p[cut : cut + 4_000])
-            out_d.append(d)
-            out_i.append(i)
-    if not out_d:
+    code: dict[str, int] = {}
+    codes = np.array([code.setdefault(w, len(code)) for w in words], np.int64)
+    near = np.sort(np.array([c * items.base + v for w, c in code.items() for v in items.near(w)], np.int64))
+    ahead, back = (Texts(items, numbers, codes, near, doc, cue, b) for b in (False, True))
+    out = []
+    for size, at, place in _seeds(items, numbers, ahead, back):
+        for part in range(0, len(at), SEEDS):
+            a, p = at[part : part + SEEDS], place[part : part + SEEDS]
+            right = ahead.reached(a + size - 1, p + size - 1)
+            left = back.reached(len(doc) - 1 - a, len(items.words) - 1 - p)
+            longest = size + np.max([left[:, e] + right[:, BUDGET - e] for e in range(BUDGET + 1)], axis=0)
+            leaked = longest >= least
+            out.append(np.stack([doc[a][leaked], items.item[p][leaked]], axis=1))
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(out_d), np.concatenate(out_i)], axis=1), axis=0)
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _aligned(items: Items, numbers, words, doc, cue, a, p):
-    x = a[:, None] + np.arange(-REACH, REACH + PIECE)
-    y = p[:, None] + np.arange(-BEFORE, AFTER)
-    in_doc = (x >= 0) & (x < len(numbers))
-    x = np.where(in_doc, x, 0)
-    in_doc &= doc[x] == doc[a][:, None]
-    in_item = items.item[y] == items.item[p][:, None]
-    starts = in_doc & (cue[np.maximum(x - 1, 0)] != cue[x])
-    ends = in_doc & (cue[np.minimum(x + 1, len(cue) - 1)] != cue[x])
-    item = np.where(in_item, items.words[y], 0)
-    # words unknown to the items count as damaged first; only runs that come near RUN need the words behind the damage
-    longest = _chains(item, np.where(in_doc, np.where(numbers[x] == 0, -1, numbers[x]), 0), starts, ends)
-    unsure = np.flatnonzero((longest >= CLOSE) & (longest < RUN))
-    if len(unsure):
-        x, in_doc = x[unsure], in_doc[unsure]
-        for w in np.unique(x[in_doc & (numbers[x] == 0)]):
-            numbers[w] = items.nearest(words[w])
-        longest[unsure] = _chains(item[unsure], np.where(in_doc, numbers[x], 0), starts[unsure], ends[unsure])
-    leaked = longest >= RUN
-    return doc[a][leaked], items.item[p][leaked]
+def _seeds(items: Items, numbers: np.ndarray, ahead: Texts, back: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, places in the documents, places in the items) of the exact pieces from which runs are sought on either side."""
+    at, place = items.hits(numbers)
+    # of pieces side by side on one diagonal the first leads to all others; a jump may also enter where a cue starts
+    first = (numbers[at - 1] != items.words[place - 1]) | ahead.ends[at - 1]
+    at, place = at[first], place[first]
+    offset = np.arange(-BEFORE, AFTER)
+    good = np.zeros(len(at), bool)
+    for part in range(0, len(at), 200_000):
+        a, p = at[part : part + 200_000], place[part : part + 200_000]
+        total = np.cumsum(np.pad(numbers[a[:, None] + offset] == items.words[p[:, None] + offset], ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+        good[part : part + 200_000] = (total[:, RUN:] - total[:, :-RUN]).max(axis=1) >= SUPPORT
+    yield PIECE, at[good], place[good]
 
 
 def _put(held: tuple[list, list[str], list[int], list[int]], words: list[str], doc: int) -> None:
@@ -278,10 +305,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     the item may be damaged. A first line that more than two items share is an instruction and is no passage.
 
     Method: pigeonhole. Of RUN words with BUDGET damaged, one of BUDGET + 1 pieces of PIECE words stands exactly:
-    every piece of the items at any offset is looked up in the documents' words. Around each hit with SUPPORT exact
-    words on its diagonal the longest run of successive words is found, words unknown to the items counting as damaged; where it
-    comes near RUN, these are compared with the items' words by Myers' bit-parallel distance (itself behind a
-    pigeonhole index of word parts) and the run is found again.
+    every piece of the items at any offset is looked up in the documents' words. From each with SUPPORT exact words on its
+    diagonal the longest run is walked to both sides; words that differ are compared with the item word they stand beside by
+    Myers' bit-parallel distance (looked up among all item words within the bound, behind a pigeonhole index of word parts).
 
     Scale: the items are the query set. Each block of BLOCK items goes with the task; documents are read once per block,
     where they lie, and nothing is shuffled. Null or empty texts and items shorter than RUN words have no leaks; a null id

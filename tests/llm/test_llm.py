@@ -130,6 +130,23 @@ def test_leaks_are_runs_of_twelve_words_under_layout_and_damage(spark):
     assert leakage.leaked_passages(docs.limit(0), evals).count() == 0 and leakage.leaked_passages(docs, evals.limit(0)).count() == 0
 
 
+def leaks(spark, texts, items):
+    docs, evals = (spark.createDataFrame(list(x.items()), f"{n} bigint, text string") for x, n in ((texts, "doc_id"), (items, "item_id")))
+    return {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(docs, evals).collect()}
+
+
+def test_damaged_words_are_compared_with_the_word_they_stand_beside(spark):
+    rng = random.Random(5)
+    own = rng.sample(WORDS, 14)
+    own[4], own[8] = "silverton", "golden"
+    other = [*rng.sample(WORDS, 12), "silvertxa", "holden"]
+    # nearer to a word of another item; turned into a word of another item
+    near, turned = [["silvertxx" if w == "silverton" else w for w in own[:12]], ["holden" if w == "golden" else w for w in own[:12]]]
+    both = [{4: "silvertxx", 8: "holden", 1: own[1][:2] + "x" + own[1][3:]}.get(i, w) for i, w in enumerate(own[:12])]
+    texts = {k: cues([" ".join(FILLER[:6]), " ".join(w), " ".join(FILLER[6:])]) for k, w in ((1, near), (2, turned), (3, both), (4, own[:11]))}
+    assert leaks(spark, texts, {1: " ".join(own), 2: " ".join(other)}) == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_misread_encodings_are_repaired():
     text = "première scène à côté"
     once = text.encode("utf-8").decode("latin-1")
