@@ -15,12 +15,10 @@ from skewline.llm.subtitles import WORD, cue_texts, folded, lines_of, repaired
 #: Successive words of an item that make a leak, damaged words among them that are borne, words of an exact piece.
 RUN, BUDGET = 12, 3
 PIECE = RUN // (BUDGET + 1)
-#: Words before and from a piece on among which SUPPORT is counted; items stand apart by as many.
-BEFORE, AFTER = RUN - 1, RUN + PIECE
-#: Least exact words of RUN on the diagonal of a hit for which the words around are aligned: half of an undamaged run cut in two.
-SUPPORT = 6
+#: Empty places between two items, and between two documents.
+AFTER = RUN + PIECE
 #: Exact pieces that are walked from at once.
-SEEDS = 50_000
+SEEDS = 30_000
 #: Place without a word among the items' words.
 EMPTY = -5
 #: Items indexed at once; more are taken in blocks.
@@ -79,13 +77,14 @@ class Items:
             for w in own:
                 self.number.setdefault(w, len(self.number) + 1)
         self.base = len(self.number) + 1
-        # items stand apart by as many empty places as words are compared beside a hit
+        # items stand apart, so that no piece and no step leads from one to another
         self.words = np.concatenate([np.full(AFTER, EMPTY), *[a for w in words for a in (np.array([self.number[x] for x in w], np.int64), np.full(AFTER, EMPTY))]])
         self.item = np.concatenate([np.full(AFTER, -1), *[a for i, w in enumerate(words) for a in (np.full(len(w), i), np.full(AFTER, -1))]])
-        keys = self._keys(self.words)
-        place = np.flatnonzero(np.minimum.reduce([self.words[i : i + len(keys)] for i in range(PIECE)]) > 0) if len(keys) else np.zeros(0, int)
-        order = np.argsort(keys[place], kind="stable")
-        self.key, self.place = keys[place][order], place[order]
+        self.pieces = {}
+        for size in range(1, PIECE + 1):
+            place, keys = self._keys(self.words, size)
+            order = np.argsort(keys, kind="stable")
+            self.pieces[size] = keys[order], place[order]
         self.parts: dict[tuple[int, str], list[str]] = {}
         for w in self.number:
             for part in self._parts(w):
@@ -99,12 +98,17 @@ class Items:
         for i in range(k):
             yield cut[i], word[cut[i] : cut[i + 1]]
 
-    def _keys(self, words: np.ndarray) -> np.ndarray:
-        n = max(len(words) - PIECE + 1, 0)
-        key = np.zeros(n, np.int64)
-        for i in range(PIECE):
-            key = key * self.base + words[i : i + n]
-        return key
+    def _keys(self, words: np.ndarray, size: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key) of each ``size`` words side by side that items have, of those that start ``where``."""
+        n = max(len(words) - size + 1, 0)
+        whole = np.ones(n, bool) if where is None else where[:n].copy()
+        for i in range(size):
+            whole &= words[i : i + n] > 0
+        place = np.flatnonzero(whole)
+        key = np.zeros(len(place), np.int64)
+        for i in range(size):
+            key = key * self.base + words[place + i]
+        return place, key
 
     def near(self, word: str) -> tuple[int, ...]:
         """Numbers of all item words, other than ``word`` itself, that ``word`` may be a damaged form of."""
@@ -128,16 +132,12 @@ class Items:
             self.known[word] = found
         return found
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``words``, place in the items) of each exact piece."""
-        keys = self._keys(words)
-        whole = np.flatnonzero(np.minimum.reduce([words[i : i + len(keys)] for i in range(PIECE)]) > 0) if len(keys) else np.zeros(0, int)
-        keys = keys[whole]
-        low = np.searchsorted(self.key, keys, "left")
-        many = np.searchsorted(self.key, keys, "right") - low
-        at = np.repeat(whole, many)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-        return at, self.place[np.repeat(low, many) + nth]
+    def hits(self, words: np.ndarray, size: int = PIECE, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``words``, place in the items) of each exact piece of ``size`` words."""
+        own, place = self.pieces[size]
+        at, keys = self._keys(words, size, where)
+        nth, who = _spread(np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right"))
+        return at[who], place[nth]
 
 
 class Texts:
@@ -150,21 +150,32 @@ class Texts:
         self.numbers, self.codes, self.near, self.doc = numbers[turned], codes[turned], near, doc[turned]
         cue = cue[turned]
         self.ends = np.concatenate((cue[1:] != cue[:-1], [True]))
-        # the cue starts of a document by the item words they may stand for, 0 for a word that no item has
+        # by document and number of unknown words at the start of a cue: the item words that the word behind them may stand for
         at = np.flatnonzero(np.concatenate(([True], self.ends[:-1])) & (self.doc >= 0))
-        code = self.codes[at]
-        low = np.searchsorted(near, code * self.base)
-        nth, who = _spread(low, np.searchsorted(near, (code + 1) * self.base))
-        word = np.concatenate((self.numbers[at], near[nth] - code[who] * self.base))
-        at = np.concatenate((at, at[who]))
-        self.starts = np.sort((self.doc[at] * self.base + word) * len(self.doc) + at)
-
-    def later(self, x: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range in ``starts`` of the cues behind the next word of the document of ``x`` that start with ``word``."""
-        key = (self.doc[x] * self.base + word) * len(self.doc)
-        low = np.searchsorted(self.starts, key + x + 2)
+        starts = []
+        for lost in range(BUDGET + 1):
+            code = self.codes[at]
+            nth, who = _spread(np.searchsorted(near, code * self.base), np.searchsorted(near, (code + 1) * self.base))
+            some = self.numbers[at] > 0
+            place, word = np.concatenate((at[some], at[who])), np.concatenate((self.numbers[at][some], near[nth] - code[who] * self.base))
+            starts.append(self._key(place, lost, word) + place)
+            at = at[(self.numbers[at] == 0) & (self.doc[np.minimum(at + 1, len(self.doc) - 1)] == self.doc[at])] + 1
+        self.starts = np.sort(np.concatenate(starts))
+
+    def _key(self, x: np.ndarray, lost: int, word: np.ndarray) -> np.ndarray:
+        return ((self.doc[x] * (BUDGET + 1) + lost) * self.base + word) * len(self.doc)
+
+    def later(self, x: np.ndarray, word: np.ndarray, lost: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Range in ``starts`` of the cues behind the next word of the document of ``x`` that start with ``word`` after ``lost`` unknown words."""
+        key = self._key(x, lost, word)
+        low = np.searchsorted(self.starts, key + x + 2 + lost)
         return low, np.maximum(low, np.searchsorted(self.starts, key + len(self.doc)))
 
+    def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether a later cue starts with the word behind place ``y`` of the items."""
+        low, high = self.later(x, np.maximum(self.words[y + 1], 0))
+        return (self.words[y + 1] > 0) & (high > low)
+
     def reached(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
         """(n, BUDGET + 1): item words found in order behind (``at``, ``place``), by the damaged words among them.
 
@@ -185,17 +196,19 @@ class Texts:
                 end = self.ends[x]
                 left.append(tuple(c[end] for c in todo))
                 todo = (h, x + 1, y + 1, used, k + 1)
-            h, x, y, used, k = np.unique(np.stack([np.concatenate(c) for c in zip(*left, strict=True)]), axis=1)
-            todo, jumped = self._jumps(h, x, y, used, k), True
+            h, x, y, used, k = (np.concatenate(c) for c in zip(*left, strict=True))
+            once = np.unique(((h * len(self.doc) + x) * len(self.words) + y) * (BUDGET + 1) + used, return_index=True)[1]
+            todo, jumped = self._jumps(*(c[once] for c in (h, x, y, used, k))), True
         return np.maximum.accumulate(best, axis=1)
 
     def _jumps(self, h, x, y, used, k):
-        inside = self.words[y + 1] > 0
-        h, x, y, used, k = (c[inside] for c in (h, x, y, used, k))
         out = []
-        for word, some in ((self.words[y + 1], slice(None)), (np.zeros(len(y), np.int64), used < BUDGET)):
-            nth, who = _spread(*self.later(x[some], word[some]))
-            out.append((h[some][who], self.starts[nth] % len(self.doc), y[some][who] + 1, used[some][who], k[some][who] + 1))
+        for lost in range(BUDGET + 1):
+            word = self.words[np.minimum(y + 1 + lost, len(self.words) - 1)]
+            some = np.flatnonzero((word > 0) & (used + lost <= BUDGET) & (k + lost < RUN))
+            nth, who = _spread(*self.later(x[some], word[some], lost))
+            who = some[who]
+            out.append((h[who], self.starts[nth] % len(self.doc), y[who] + 1 + lost, used[who] + lost, k[who] + 1 + lost))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def _judged(self, at, place, best, h, x, y, used, k):
@@ -248,13 +261,19 @@ def _seeds(items: Items, numbers: np.ndarray, ahead: Texts, back: Texts) -> Iter
     # of pieces side by side on one diagonal the first leads to all others; a jump may also enter where a cue starts
     first = (numbers[at - 1] != items.words[place - 1]) | ahead.ends[at - 1]
     at, place = at[first], place[first]
-    offset = np.arange(-BEFORE, AFTER)
-    good = np.zeros(len(at), bool)
-    for part in range(0, len(at), 200_000):
-        a, p = at[part : part + 200_000], place[part : part + 200_000]
-        total = np.cumsum(np.pad(numbers[a[:, None] + offset] == items.words[p[:, None] + offset], ((0, 0), (1, 0))), axis=1, dtype=np.int16)
-        good[part : part + 200_000] = (total[:, RUN:] - total[:, :-RUN]).max(axis=1) >= SUPPORT
-    yield PIECE, at[good], place[good]
+    yield PIECE, at, place
+    # pieces divided by a cue end, with the rest of them at the edge of any other cue: 2|1, 1|2, 1|1|1
+    ends = ahead.ends
+    starts = np.concatenate(([True], ends[:-1]))
+    for size, where, left, right in ((2, np.append(ends[1:], False), False, True), (2, starts, True, False), (1, starts & ends, True, True)):
+        at, place = items.hits(numbers, size, where)
+        if right:
+            some = ahead.follows(at + size - 1, place + size - 1)
+            at, place = at[some], place[some]
+        if left:
+            some = back.follows(len(numbers) - 1 - at, len(items.words) - 1 - place)
+            at, place = at[some], place[some]
+        yield size, at, place
 
 
 def _put(held: tuple[list, list[str], list[int], list[int]], words: list[str], doc: int) -> None:
@@ -305,9 +324,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     the item may be damaged. A first line that more than two items share is an instruction and is no passage.
 
     Method: pigeonhole. Of RUN words with BUDGET damaged, one of BUDGET + 1 pieces of PIECE words stands exactly:
-    every piece of the items at any offset is looked up in the documents' words. From each with SUPPORT exact words on its
-    diagonal the longest run is walked to both sides; words that differ are compared with the item word they stand beside by
-    Myers' bit-parallel distance (looked up among all item words within the bound, behind a pigeonhole index of word parts).
+    every piece of the items at any offset is looked up in the documents' words, pieces that cue ends divide as well. From
+    each the longest run is walked to both sides, over any cues of the document that lie between; words that differ are
+    compared with the item word they stand beside by Myers' bit-parallel distance (looked up among all item words within the
+    bound, behind a pigeonhole index of word parts).
 
     Scale: the items are the query set. Each block of BLOCK items goes with the task; documents are read once per block,
     where they lie, and nothing is shuffled. Null or empty texts and items shorter than RUN words have no leaks; a null id

@@ -147,6 +147,23 @@ def test_damaged_words_are_compared_with_the_word_they_stand_beside(spark):
     assert leaks(spark, texts, {1: " ".join(own), 2: " ".join(other)}) == {(1, 1), (2, 1), (3, 1)}
 
 
+@pytest.mark.parametrize(
+    ("cuts", "damaged", "between"),
+    [((6,), (2, 9), 5), ((4, 8), (), 5), ((6,), (), 70), ((4, 8), (), 70), ((), (4, 5, 6, 7), 0), ((4, 8), (1, 5, 9), 5), ((1, 2), (5, 8, 11), 5)],
+)
+def test_every_exact_piece_leads_to_verification_whatever_cues_lie_between(spark, cuts, damaged, between):
+    own = random.Random(7).sample(WORDS, 16)
+    passage = [w[:2] + "x" + w[3:] if i in damaged else w for i, w in enumerate(own[:12])]
+    parts = [passage[a:b] for a, b in zip((0, *cuts), (*cuts, 12), strict=True)]
+    filler = [random.Random(9).choice(FILLER) for _ in range(between)]
+
+    def text(parts):
+        return cues([" ".join(FILLER[:4]), *[c for p in parts for c in (" ".join(p), " ".join(filler or FILLER[:3]))]])
+
+    short = [parts[0][1:], *parts[1:]] if 0 not in damaged else parts
+    assert leaks(spark, {1: text(parts), 2: text([p for p in short if p])}, {1: " ".join(own[:12])}) == {(1, 1)}
+
+
 def test_misread_encodings_are_repaired():
     text = "première scène à côté"
     once = text.encode("utf-8").decode("latin-1")
