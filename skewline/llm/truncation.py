@@ -233,7 +233,7 @@ def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
     for unit in ("c", "b"):
         found = {float(x["length"]): (float(x["texts"]), float(x["near"])) for x in json.loads(f[f"top_{unit}"])}
         # texts at a candidate are taken out of the moments of the rest
-        inside = [(c, k) for c, (k, near) in found.items() if k >= LEAST and k >= LEAST + near + 5 * math.sqrt(near)]
+        inside = [(c, k) for c, (k, _) in found.items()]
         n = f["n"] - sum(k for _, k in inside)
         s1 = f[f"s1_{unit}"] - sum(k * math.log(c) for c, k in inside)
         s2 = f[f"s2_{unit}"] - sum(k * math.log(c) ** 2 for c, k in inside)
@@ -250,17 +250,16 @@ def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
 def source_limits(features: DataFrame) -> DataFrame:
     """(source, length, posterior, texts): lengths at which a source's texts were cut ('c1000': characters, 'b2048': bytes).
 
-    Texts are counted per source and length (combined on the map side); the 50 most frequent lengths of a source from
-    ``LEAST`` texts on that stand out from the lengths within ``NEAR`` are its candidates, all others enter the fit
-    through their moments.
+    Texts are counted per source and length (combined on the map side); the lengths of a source that stand out from the
+    lengths within ``NEAR`` by ``LEAST`` texts and five standard deviations are its candidates, however many others are
+    commoner; all others enter the fit through their moments.
     """
     each = features.select(F.coalesce("source", F.lit("")).alias("source"), "doc", F.explode("lengths").alias("length"))
     counts = each.groupBy("source", "length").agg(F.count(F.lit(1)).alias("texts"))
     counts = counts.withColumn("unit", F.substring("length", 1, 1)).withColumn("value", F.expr("cast(substring(length, 2) as double)")).where("value > 0")
     around = Window.partitionBy("source", "unit").orderBy(F.col("value").cast("bigint")).rangeBetween(-NEAR, NEAR)
     counts = counts.withColumn("near", (F.sum("texts").over(around) - F.col("texts")) / (2.0 * NEAR))
-    order = Window.partitionBy("source", "unit").orderBy(F.desc("texts"), "value")
-    top = counts.where(F.col("texts") >= LEAST).withColumn("_k", F.row_number().over(order)).where("_k <= 50")
+    top = counts.where(F.col("texts") >= LEAST + F.col("near") + 5 * F.sqrt("near"))
     moments = counts.groupBy("source").agg(
         *[F.sum(F.when(F.col("unit") == u, F.col("texts") * F.pow(F.log("value"), p))).alias(f"s{p}_{u}") for u in ("c", "b") for p in (1, 2)],
         F.sum(F.when(F.col("unit") == "c", F.col("texts"))).alias("n"),

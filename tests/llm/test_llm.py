@@ -232,6 +232,13 @@ def corpus():
     return rows
 
 
+def test_seldom_limits_are_found_among_many_common_lengths(spark):
+    rows = [("big", f"c{n}") for n in range(500, 620) for _ in range(40)] + [("big", "c5000")] * 30 + [("small", f"c{n}") for n in range(500, 620)] + [("small", "c5000")] * 30
+    features = spark.createDataFrame([(s, i, [n]) for i, (s, n) in enumerate(rows)], "source string, doc bigint, lengths array<string>")
+    got = {(r["source"], r["length"]): r["texts"] for r in truncation.source_limits(features).collect()}
+    assert got == {("big", "c5000"): 30, ("small", "c5000"): 30}
+
+
 def test_cut_texts_are_found_by_limit_and_ending(spark):
     rows = corpus()
     extra = [(5000, None, "free", False), (5001, "", "free", False), (5002, f"1\n{END}Good.", None, False), (5003, "x" * 200_000, "free", False)]
