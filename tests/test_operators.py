@@ -101,6 +101,17 @@ def test_calibration_recovers_volatilities(spark):
         assert r["status"] == "ok" and r["theta"] == pytest.approx(truth[e]) and r["rmse"] < 2e-3 and abs(r["rho"]) < 0.99
 
 
+def test_smiles_are_fitted_for_every_slice_with_four_options(spark, monkeypatch):
+    from skewline.plans import surface_queries
+
+    slices = {("2024-01-02", "2024-01-10"): 5, ("2024-01-02", "2024-01-26"): 4, ("2024-01-03", "2024-01-10"): 6, ("2024-01-03", "2024-01-26"): 3}
+    rows = [(d, e, 8, 0.05, -0.1 + 0.05 * i, 0.6 + 0.01 * i * i) for (d, e), n in slices.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "date string, expiration string, days_to_expiry int, tau double, log_moneyness double, iv double")
+    monkeypatch.setattr(surface_queries, "cross_section", lambda spark, folder: df)
+    got = {(r["date"], r["expiration"]): r["n_options"] for r in surface_queries.q_smile_fit(spark, "").collect()}
+    assert got == {k: n for k, n in slices.items() if n >= 4}
+
+
 def test_monotone_variance_is_the_pooled_fit(spark):
     v = [3.0, 1.0, 2.0, 5.0, 4.0, 4.0, 6.0]
     df = spark.createDataFrame([(D, float(i), x) for i, x in enumerate(v)], "date date, tau double, theta double")
