@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.operators.skew import key_percentiles
@@ -16,12 +16,18 @@ from skewline.session import written
 
 #: Readings on either side that show what a source does around a reading.
 NEIGHBOURS = 4
-#: Robust standard deviations from which a residual is tested further.
-CRITICAL = 4.0
-#: Outlier rounds: fit, test, take the outliers out, fit again.
-ROUNDS = 3
-#: Rows given on from either end of a time shard, and how many of them are judged with the neighbouring shard.
-EDGE, PENDING = 256, 128
+#: Robust standard deviations from which a residual, or a shift in level, is out of a source's normal behaviour.
+CRITICAL = 2.5
+#: Rounds of tests: test, put what is expected in the place of outliers, test again.
+ROUNDS = 4
+#: Largest coefficient of the autoregression, least residual scale, and steps in which distributions are counted (logarithms).
+MOST, LEAST_SCALE, STEP = 0.98, 1e-3, 1e-3
+#: Readings of a field that shards of a hot source exchange.
+HALO = 32
+#: Milliseconds of a cell, by which hot sources are cut into shards.
+CELL = 3_600_000
+#: Deviations of a normal distribution between its quartiles.
+_QUARTILES = 1.349
 
 
 @dataclass(frozen=True)
@@ -42,12 +48,13 @@ class Rule:
 
 
 @dataclass(frozen=True)
-class Shape:
-    """Column names and sizes that the tasks need."""
+class Fit:
+    """First-order autoregressions, one per group: centre, coefficient, scale of the residuals and of the deviations."""
 
-    rules: tuple[Rule, ...]
-    least: int
-    columns: list[str] = field(default_factory=list)
+    centre: np.ndarray
+    phi: np.ndarray
+    scale: np.ndarray
+    spread: np.ndarray
 
 
 def time_reference(df: DataFrame, millis: str, value: str, step_ms: int = 3_600_000, least: int = 9) -> DataFrame:
@@ -92,8 +99,8 @@ def _group_median(group: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _around(group: np.ndarray, x: np.ndarray, clean: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Median of the up to NEIGHBOURS clean readings before and after each position of ``at``, itself left out."""
+def _sides(group: np.ndarray, x: np.ndarray, clean: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(n, 2 NEIGHBOURS): the up to NEIGHBOURS clean readings before and after each position of ``at``, else NaN."""
     place = np.flatnonzero(clean)
     before = np.searchsorted(place, at, "left")
     after = np.searchsorted(place, at, "right")
@@ -102,54 +109,87 @@ def _around(group: np.ndarray, x: np.ndarray, clean: np.ndarray, at: np.ndarray)
     inside = (i >= 0) & (i < len(place))
     j = place[np.where(inside, i, 0)] if len(place) else np.zeros_like(i)
     inside &= group[j] == group[at][:, None]
-    near = np.sort(np.where(inside, x[j], np.nan), axis=1)
-    m = inside.sum(axis=1)
-    row = np.arange(len(at))
+    return np.where(inside, x[j], np.nan)
+
+
+def _middle(near: np.ndarray) -> np.ndarray:
+    """Median of each row, NaN left out; NaN of a row without any."""
+    near = np.sort(near, axis=1)
+    m = np.isfinite(near).sum(axis=1)
+    row = np.arange(len(near))
     return np.where(m > 0, (near[row, np.maximum((m - 1) // 2, 0)] + near[row, np.minimum(m // 2, near.shape[1] - 1)]) / 2, np.nan)
 
 
-def _outliers(group: np.ndarray, x: np.ndarray, n: int, bound: float, wanders: bool) -> np.ndarray:
-    """Readings that a robust first-order autoregression per group takes for additive outliers or shifted in level.
+def _steps(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, sum, difference) of successive readings of a group, in whole steps of STEP."""
+    same = group[1:] == group[:-1]
+    a, b = x[1:][same], x[:-1][same]
+    return group[1:][same], np.rint((a + b) / STEP).astype(np.int64), np.rint((a - b) / STEP).astype(np.int64)
+
+
+def _ranked(group: np.ndarray, code: np.ndarray, n: int, shares: tuple[float, ...]) -> np.ndarray:
+    """(shares, n): the code of each group at the rank ceil(share * count), NaN for a group without any."""
+    out = np.full((len(shares), n), np.nan)
+    size = np.bincount(group, minlength=n)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    ordered, there = code[np.lexsort((code, group))], size > 0
+    for k, share in enumerate(shares):
+        out[k, there] = ordered[(start + np.maximum(np.ceil(share * size), 1).astype(int) - 1)[there]]
+    return out
 
-    x: logarithms of the readings, ordered in time within a group. Each round fits centre, coefficient (on readings
-    clipped at 2.5 robust deviations) and residual scale, then tests each reading: as an additive outlier it weighs
-    its own residual against the next one; as a level shift (only where the level doesn't wander) its distance from
-    the centre. The test is passed at CRITICAL deviations, or at ``bound`` where that is less. Outliers are set to
-    what their neighbours lead one to expect, and the next round fits without them.
+
+def fit_of(plus: np.ndarray, minus: np.ndarray) -> Fit:
+    """The autoregression from the quartiles of sums and differences of successive readings (each (3, n), in steps).
+
+    Robust autocovariance: a series' sums and differences of successive readings have the variances 2 v (1 + r) and
+    2 v (1 - r), where v is its variance and r its first autocorrelation. Scales are taken from the distance between
+    quartiles, so a quarter of the readings may be outliers. Groups without two readings have a zero coefficient.
+    """
+    plus, minus = np.nan_to_num(plus * STEP), np.nan_to_num(minus * STEP)
+    p, m = ((q[2] - q[0]) / _QUARTILES for q in (plus, minus))
+    total = p * p + m * m
+    phi = np.clip((p * p - m * m) / np.where(total > 0, total, 1), 0, MOST)
+    scale = np.sqrt((p * (1 - phi)) ** 2 + (m * (1 + phi)) ** 2) / 2
+    return Fit(plus[1] / 2, phi, np.maximum(scale, LEAST_SCALE), np.maximum(np.sqrt(total) / 2, LEAST_SCALE))
+
+
+def outliers(group: np.ndarray, x: np.ndarray, fit: Fit, wanders: bool) -> np.ndarray:
+    """Readings that the autoregression of their group takes for additive outliers or shifted in level.
+
+    x: logarithms of the readings, ordered in time within a group. Each round tests every reading against the series as
+    cleaned so far: as an additive outlier by its own residual and the next one, against CRITICAL residual deviations;
+    then for a shift in level. Where the level wanders, a reading at whose level the following ones stay starts a
+    shift and isn't an outlier; else one CRITICAL deviations off the centre is shifted and counts. What is found is
+    set to what its neighbours lead one to expect, and the next round tests again.
     """
     flagged = np.zeros(len(x), bool)
     if not len(x):
         return flagged
-    y, first = x.copy(), np.concatenate(([True], group[1:] != group[:-1]))
-    centre = _group_median(group, x, n)
-    spread = np.maximum(1.4826 * _group_median(group, np.abs(x - centre[group]), n), 1e-6)
-    for turn in range(ROUNDS):
-        d = y - centre[group]
-        clipped = np.clip(d, -2.5 * spread[group], 2.5 * spread[group])
-        lag, lag_raw = np.roll(clipped, 1), np.roll(d, 1)
-        lag[first] = lag_raw[first] = 0
-        denominator = np.bincount(group, lag * lag, n)
-        phi = np.clip(np.bincount(group, lag * clipped, n) / np.where(denominator > 0, denominator, 1), 0, 0.98)
-        own = x - centre[group]
-        e = own - phi[group] * lag_raw
-        ahead = np.roll(d, -1) - phi[group] * own
-        last = np.roll(first, -1)
-        ahead[last] = 0
-        quiet = d - phi[group] * lag_raw
-        scale = 1.4826 * _group_median(group, np.abs(quiet), n) if turn == 0 else np.sqrt(np.bincount(group[~flagged], quiet[~flagged] ** 2, n) / np.maximum(np.bincount(group[~flagged], minlength=n), 1))
-        scale = np.maximum(scale, 1e-3)
-        p = phi[group]
-        gain = np.where(last, 1.0, 1 + p * p)
-        size = np.abs((e - p * ahead) / gain)
-        found = size >= np.minimum(CRITICAL * scale[group] / np.sqrt(gain), bound / 2)
-        if not wanders:
-            found |= np.abs(own) >= np.minimum(CRITICAL * spread[group], bound * 0.9)
-        if turn and (found <= flagged).all():
+    centre, phi, scale, spread = (a[group] for a in (fit.centre, fit.phi, fit.scale, fit.spread))
+    first = np.concatenate(([True], group[1:] != group[:-1]))
+    last = np.roll(first, -1)
+    own, y = x - centre, x.copy()
+    gain = np.where(first | last, 1.0, 1 + phi * phi)
+    for _ in range(ROUNDS):
+        d = y - centre
+        before, after = np.roll(d, 1), np.roll(d, -1)
+        residual = np.where(first, np.where(last, own, own - phi * after), own - phi * before)
+        following = np.where(first | last, 0.0, after - phi * own)
+        found = np.abs(residual - phi * following) >= CRITICAL * scale * np.sqrt(gain)
+        if wanders:
+            at = np.flatnonzero(found)
+            sides = _sides(group, y, ~flagged, at)
+            old, new = _middle(sides[:, :NEIGHBOURS]), _middle(sides[:, NEIGHBOURS:])
+            shifted = (np.abs(new - old) >= CRITICAL * scale[at]) & (np.abs(x[at] - new) <= np.abs(new - old) / 2)
+            found[at[shifted]] = False
+        else:
+            found |= np.abs(own) >= CRITICAL * spread
+        if (found == flagged).all():
             break
-        flagged |= found
-        expected = _around(group, x, ~flagged, np.flatnonzero(flagged))
-        y = x.copy()
-        y[flagged] = np.where(np.isnan(expected), centre[group][flagged], expected)
+        flagged, y = found, x.copy()
+        at = np.flatnonzero(flagged)
+        expected = _middle(_sides(group, x, ~flagged, at))
+        y[at] = np.where(np.isnan(expected), centre[at], expected)
     return flagged
 
 
@@ -162,44 +202,56 @@ def _stuck(group: np.ndarray, v: np.ndarray, least: int) -> np.ndarray:
     return (np.bincount(run) >= least)[run]
 
 
-def _judged(shape: Shape, group: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """For each rule a mask over all rows: the reading is implausible."""
-    out = {}
-    for r in shape.rules:
-        v = columns[r.name]
-        there = np.isfinite(v)
-        bad = there & (v <= 0)
-        if r.upper:
-            bad |= there & (v > columns[f"{r.name}__upper"])
+@dataclass(frozen=True)
+class Readings:
+    """Readings of one rule in order of time within their groups (NaN: none), what they are held against, their limit."""
+
+    rule: Rule
+    group: np.ndarray
+    v: np.ndarray
+    base: np.ndarray
+    upper: np.ndarray
+
+    def tested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stuck, places, x): the readings in stuck runs; those that are tested for spikes, and their logarithms.
+
+        Stuck runs stand apart: they neither are tested nor show what is normal.
+        """
+        v, there = self.v, np.isfinite(self.v)
         stuck = np.zeros(len(v), bool)
-        if r.stuck:
+        if self.rule.stuck:
             place = np.flatnonzero(there)
-            stuck[place] = _stuck(group[place], v[place], r.stuck)
-            bad |= stuck
-        # stuck runs stand apart: they neither are tested for spikes nor show what is normal
-        place = np.flatnonzero(there & (v > 0) & ~stuck)
-        g, x = group[place], np.log(v[place])
-        if r.against == "median":
-            middle = _group_median(group[there], v[there], n)[g]
-            base = np.where(middle > 0, middle, np.nan)
-        elif r.against != "neighbours":
-            base = columns[r.against][place]
-            base = np.where(base > 0, base, np.nan)
-        else:
-            base = np.ones(len(place))
-        known = np.isfinite(base)
-        place, g, x, base = place[known], g[known], x[known], base[known]
-        bound = min(abs(np.log(b)) for b in (r.up, r.down) if b > 0)
-        found = np.flatnonzero(_outliers(g, x - np.log(base), n, bound, r.against == "neighbours"))
+            stuck[place] = _stuck(self.group[place], v[place], self.rule.stuck)
+        known = there & (v > 0) & ~stuck
+        if self.rule.against not in ("neighbours", "median"):
+            known &= np.isfinite(self.base) & (self.base > 0)
+            place = np.flatnonzero(known)
+            return stuck, place, np.log(v[place] / self.base[place])
+        place = np.flatnonzero(known)
+        return stuck, place, np.log(v[place])
+
+    def fit(self, n: int) -> Fit:
+        _, place, x = self.tested()
+        group, plus, minus = _steps(self.group[place], x)
+        return fit_of(*(_ranked(group, code, n, (0.25, 0.5, 0.75)) for code in (plus, minus)))
+
+    def implausible(self, fit: Fit, medians: np.ndarray | None = None) -> np.ndarray:
+        """Mask over all readings; ``medians``: of each group, for a rule against the median."""
+        r, v = self.rule, self.v
+        stuck, place, x = self.tested()
+        bad = (np.isfinite(v) & ((v <= 0) | (v > self.upper))) | stuck
+        g = self.group[place]
+        found = np.flatnonzero(outliers(g, x, fit, r.against == "neighbours"))
         if len(found):
             if r.against == "neighbours":
                 clean = np.ones(len(x), bool)
                 clean[found] = False
-                base[found] = np.exp(_around(g, x, clean, found))
-            ratio = v[place[found]] / base[found]
+                base = np.exp(_middle(_sides(g, x, clean, found)))
+            else:
+                base = medians[g[found]] if r.against == "median" else self.base[place[found]]
+            ratio = v[place[found]] / np.where(base > 0, base, np.nan)
             bad[place[found]] |= ((r.up > 0) & (ratio >= r.up)) | (ratio <= r.down)
-        out[r.name] = bad
-    return out
+        return bad
 
 
 def _changes(a: pa.Array) -> np.ndarray:
@@ -229,100 +281,149 @@ def _numbers(t: pa.Table, name: str) -> np.ndarray:
     return pc.fill_null(t[name].cast(pa.float64()), float("nan")).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _table_columns(t: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
-    return {c: _numbers(t, c) for c in names}
+
+_FOUND = pa.schema([("kind", pa.string()), ("source", pa.string()), ("shard", pa.int64()), ("field_name", pa.string()), ("id", pa.string()), ("n_keys", pa.int64())])
+_LISTS = {"ids": pa.string(), "v": pa.float64(), "base": pa.float64(), "upper": pa.float64()}
+_COUNTS = {"plus": pa.int64(), "plus_n": pa.int64(), "minus": pa.int64(), "minus_n": pa.int64()}
+_PARTS = pa.schema([*_FOUND, *[(n, pa.list_(t)) for n, t in (_LISTS | _COUNTS).items()]])
+_SPARK_PARTS = "kind string, source string, shard bigint, field_name string, id string, n_keys bigint, ids array<string>, v array<double>, base array<double>, upper array<double>, plus array<bigint>, plus_n array<bigint>, minus array<bigint>, minus_n array<bigint>"
 
 
-def _out(kind: str, t: pa.Table, at: np.ndarray, names: list[str], field_name=None, rows_of=None) -> pa.RecordBatch:
-    part = t.take(pa.array(at))
-    n = len(at)
-    arrays = {
-        "kind": pa.array([kind] * n, pa.string()),
-        "source": part["_source"].combine_chunks().cast(pa.string()),
-        "shard": part["_shard"].combine_chunks().cast(pa.int64()),
-        "millis": part["_millis"].combine_chunks().cast(pa.int64()),
-        "id": part["_id"].combine_chunks().cast(pa.string()),
-        "field_name": pa.array([field_name] * n, pa.string()),
-        "n": pa.array(np.ones(n, "int64") if rows_of is None else rows_of),
-    } | {c: part[c].combine_chunks().cast(pa.float64()) for c in names}
-    return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays.values()], names=list(arrays))
+def _batch(rows: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.get(f.name, pa.nulls(n, f.type)) for f in _PARTS], schema=_PARTS)
 
 
-def _judge_shards(shape: Shape):
-    """Task: rows sorted by source, shard, time and id; gives verdicts, and for shards of a hot source what is pending."""
-    names = shape.columns
+def _judge_shards(rules: tuple[Rule, ...], least: int):
+    """Task: rows sorted by source, shard, time and id. Gives verdicts on whole sources; of a shard of a hot source the readings
+    per rule, and how often each sum and difference of successive ones occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["_source", "_shard"]):
-            same = ~(_changes(t["_source"].combine_chunks()) | _changes(t["_shard"].combine_chunks())) if t.num_rows > 1 else np.zeros(0, bool)
-            again = np.concatenate(([False], same & ~_changes(t["_id"].combine_chunks()))) if t.num_rows > 1 else np.zeros(t.num_rows, bool)
-            starts = np.concatenate(([True], ~same))[~again]
+            new = np.ones(t.num_rows, bool)
+            again = np.zeros(t.num_rows, bool)
+            if t.num_rows > 1:
+                new[1:] = _changes(t["_source"].combine_chunks()) | _changes(t["_shard"].combine_chunks())
+                again[1:] = ~new[1:] & ~_changes(t["_id"].combine_chunks())
+            # a key that arrives again stands beside itself
+            starts = new[~again]
             t = t.filter(pa.array(~again))
             group = np.cumsum(starts) - 1
             n = int(group[-1]) + 1
             size = np.bincount(group, minlength=n)
             begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-            hot = t["_shards"].combine_chunks().to_numpy(zero_copy_only=False)[begin] > 1
-            judged = (size >= shape.least) | hot
-            bad = _judged(shape, group, n, _table_columns(t, names))
-            shard = t["_shard"].combine_chunks().to_numpy(zero_copy_only=False)[begin]
-            shards = t["_shards"].combine_chunks().to_numpy(zero_copy_only=False)[begin]
-            place = np.arange(len(group)) - begin[group]
-            from_end = size[group] - 1 - place
-            opens, closes = (hot & (shard > 0))[group], (hot & (shard < shards - 1))[group]
-            pending = (opens & (place < PENDING)) | (closes & (from_end < PENDING))
-            edge = (opens & (place < EDGE)) | (closes & (from_end < EDGE))
-            for r in shape.rules:
-                keep = bad[r.name] & judged[group] & ~pending
-                if r.against == "median":
-                    # of a hot source the median comes from all its shards: hand on what may be far off it
-                    keep &= ~hot[group]
-                    v = _numbers(t, r.name)
-                    low = hot[group] & (v >= _numbers(t, f"{r.name}__median") * (r.up / 2)) if hot.any() else np.zeros(len(v), bool)
-                    low |= hot[group] & (v <= 0)
-                    if low.any():
-                        yield _out("candidate", t, np.flatnonzero(low), names, r.name)
-                    for k in np.flatnonzero(hot):
-                        rows = slice(begin[k], begin[k] + size[k])
-                        w = v[rows]
-                        values, first, count = np.unique(w[np.isfinite(w)], return_index=True, return_counts=True)
-                        if len(values):
-                            yield _out("values", t, begin[k] + np.flatnonzero(np.isfinite(w))[first], names, r.name, count)
-                if keep.any():
-                    yield _out("verdict", t, np.flatnonzero(keep), names, r.name)
-            if edge.any():
-                yield _out("edge", t, np.flatnonzero(edge), names, None, np.where(pending, 1, 0)[edge])
+            hot = t["_hot"].combine_chunks().to_numpy(zero_copy_only=False)[begin]
+            judged = ((size >= least) & ~hot)[group]
+            source, ids = t["_source"].combine_chunks(), t["_id"].combine_chunks()
+            for r in rules:
+                nothing = np.full(len(group), np.nan)
+                v = _numbers(t, r.name)
+                readings = Readings(
+                    r, group, v, _numbers(t, r.against) if r.against not in ("neighbours", "median") else nothing, _numbers(t, f"{r.name}__upper") if r.upper else nothing
+                )
+                there = np.isfinite(v)
+                medians = _group_median(group[there], v[there], n) if r.against == "median" else None
+                at = np.flatnonzero(readings.implausible(readings.fit(n), medians) & judged)
+                if len(at):
+                    yield _batch({"kind": pa.array(["verdict"] * len(at)), "source": source.take(pa.array(at)).cast(pa.string()), "field_name": pa.array([r.name] * len(at)), "id": ids.take(pa.array(at)).cast(pa.string())}, len(at))
+                for k in np.flatnonzero(hot):
+                    rows = slice(begin[k], begin[k] + size[k])
+                    yield _part(Readings(r, np.zeros(size[k], int), v[rows], readings.base[rows], readings.upper[rows]), source[begin[k]], t["_shard"][begin[k]], ids[rows])
 
     return run
 
 
-def _judge_edges(shape: Shape):
-    """Task: the edge rows of hot sources, sorted; gives the pending verdicts."""
-    names = shape.columns
+def _part(readings: Readings, source: pa.Scalar, shard: pa.Scalar, ids: pa.Array) -> pa.RecordBatch:
+    there = np.flatnonzero(np.isfinite(readings.v))
+    _, place, x = readings.tested()
+    _, plus, minus = _steps(readings.group[place], x)
+    lists = {"ids": ids.take(pa.array(there)).cast(pa.string())} | {n: pa.array(a[there]) for n, a in (("v", readings.v), ("base", readings.base), ("upper", readings.upper))}
+    for name, code in (("plus", plus), ("minus", minus)):
+        lists[name], lists[f"{name}_n"] = (pa.array(a) for a in np.unique(code, return_counts=True))
+    one = {n: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for n, a in lists.items()}
+    return _batch({"kind": pa.array(["part"]), "source": pa.array([source.as_py()]), "shard": pa.array([shard.as_py()]), "field_name": pa.array([readings.rule.name]), "n_keys": pa.array([len(ids)])} | one, 1)
+
+
+def _judge_parts(rules: tuple[Rule, ...]):
+    """Task: the parts of hot sources, each with the readings beside it, its source's quartiles and median; gives verdicts."""
+    named = {r.name: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ["source"]):
-            t = t.rename_columns(["_source" if c == "source" else "_shard" if c == "shard" else "_millis" if c == "millis" else "_id" if c == "id" else c for c in t.column_names])
-            source = np.concatenate(([True], _changes(t["_source"].combine_chunks()))) if t.num_rows > 1 else np.ones(t.num_rows, bool)
-            shard = t["_shard"].combine_chunks().to_numpy(zero_copy_only=False)
-            pending = t["n"].combine_chunks().to_numpy(zero_copy_only=False) > 0
-            # rows were left out between the two full edges of one shard
-            part = np.cumsum(np.concatenate(([True], source[1:] | (shard[1:] != shard[:-1])))) - 1
-            context = np.where(pending, 0, 1)
-            contexts = np.bincount(part, context)
-            seen = np.cumsum(context)
-            nth = seen - (np.bincount(part, context).cumsum() - contexts)[part]
-            hole = ~pending & (nth == EDGE - PENDING + 1) & (contexts[part] == 2 * (EDGE - PENDING))
-            group = np.cumsum(source | hole) - 1
-            bad = _judged(shape, group, int(group[-1]) + 1, _table_columns(t, names))
-            for r in shape.rules:
-                keep = bad[r.name] & pending
-                if r.against != "median" and keep.any():
-                    yield _out("verdict", t, np.flatnonzero(keep), names, r.name)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b[c][i] for c in b.schema.names}
+                lists = []
+                for name in ("v", "base", "upper"):
+                    around = [np.array([x[name] for x in row[side].as_py() or []], float) for side in ("before", "after")]
+                    lists.append(np.concatenate([around[0], row[name].values.to_numpy(zero_copy_only=False), around[1]]))
+                skipped, own = len(row["before"].as_py() or []), len(row["ids"])
+                readings = Readings(named[row["field_name"].as_py()], np.zeros(len(lists[0]), int), *lists)
+                fit = fit_of(*(np.array([[np.nan if q is None else q] for q in row[c].as_py()], float) for c in ("plus_q", "minus_q")))
+                median = row["median"].as_py()
+                bad = readings.implausible(fit, np.array([np.nan if median is None else median], float))[skipped : skipped + own]
+                ids = row["ids"].values.take(pa.array(np.flatnonzero(bad)))
+                yield pa.RecordBatch.from_arrays([pa.array([row["source"].as_py()] * len(ids), pa.string()), pa.array([row["field_name"].as_py()] * len(ids), pa.string()), ids], names=["source", "field_name", "id"])
 
     return run
 
 
+# --- hot sources ------------------------------------------------------------------------------------------------
+
+
+def hot_cells(rows: DataFrame, per_shard: int) -> DataFrame:
+    """(_source, _cell, _first, _pieces) of the sources with more than ``per_shard`` rows: which shards a cell of time falls into.
+
+    Cells are put together until ``per_shard`` rows are reached, so shards hold about as many rows each however the source's rows
+    are spread over time; a cell with more is cut into pieces of time. A source has at most one row per cell here.
+    """
+    cells = rows.groupBy("_source", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy("_source")
+    upto = F.sum("_n").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumns({"_all": F.sum("_n").over(by), "_upto": upto}).where(F.col("_all") > per_shard)
+    return cells.select("_source", "_cell", F.floor((F.col("_upto") - F.col("_n")) / per_shard).alias("_first"), F.ceil(F.col("_n") / per_shard).alias("_pieces"))
+
+
+def _quartiles(parts: DataFrame, name: str) -> DataFrame:
+    """(source, field_name, {name}_q): the three quartiles of what the parts counted; a source has as many rows here as steps occur."""
+    each = parts.select("source", "field_name", F.inline(F.arrays_zip(F.col(name).alias("code"), F.col(f"{name}_n").alias("n"))))
+    counts = each.groupBy("source", "field_name", "code").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("source", "field_name")
+    ranked = counts.withColumns({"upto": F.sum("n").over(by.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(by)})
+    at = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)), F.col("code"))) for q in (0.25, 0.5, 0.75)]
+    return ranked.groupBy("source", "field_name").agg(F.array(*at).alias(f"{name}_q"))
+
+
+def _beside(parts: DataFrame) -> DataFrame:
+    """(source, field_name, shard, before, after): the HALO readings before and after each part, from the parts beside it.
+
+    No part is without a reading, so as many parts as readings suffice on either side.
+    """
+    readings = F.arrays_zip("v", "base", "upper")
+    last = F.slice(readings, F.greatest(F.size("v") - HALO + 1, F.lit(1)), HALO)
+    edges = parts.select("source", "field_name", "shard", F.slice(readings, 1, HALO).alias("_first"), last.alias("_last"))
+    order = Window.partitionBy("source", "field_name").orderBy("shard")
+    before = F.flatten(F.collect_list("_last").over(order.rowsBetween(-HALO, -1)))
+    after = F.flatten(F.collect_list("_first").over(order.rowsBetween(1, HALO)))
+    both = edges.select("source", "field_name", "shard", before.alias("before"), F.slice(after, 1, HALO).alias("after"))
+    return both.withColumn("before", F.slice("before", F.greatest(F.size("before") - HALO + 1, F.lit(1)), HALO))
+
+
+def _hot_verdicts(judged: DataFrame, rules: list[Rule], least: int) -> DataFrame:
+    """(source, field_name, id): the implausible readings of hot sources, from their parts."""
+    parts = judged.where("kind = 'part'")
+    keys = ["source", "field_name"]
+    enough = parts.groupBy(*keys).agg(F.sum("n_keys").alias("_keys")).where(F.col("_keys") >= least).drop("_keys")
+    own = enough.join(_quartiles(parts, "plus"), keys, "left").join(_quartiles(parts, "minus"), keys, "left")
+    medians = [r.name for r in rules if r.against == "median"]
+    values = parts.where(F.col("field_name").isin(medians)).select(*keys, F.explode("v").alias("_value"))
+    own = own.join(_exact_median(values.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_rows")), keys), keys, "left")
+    nothing = F.array(*[F.lit(None).cast("bigint")] * 3)
+    own = own.withColumns({c: F.coalesce(c, nothing) for c in ("plus_q", "minus_q")})
+    some = parts.where(F.size("v") > 0)
+    light = _beside(some).join(own, keys)
+    heavy = some.select(*keys, "shard", *_LISTS)
+    return heavy.join(light, [*keys, "shard"]).mapInArrow(_judge_parts(tuple(rules)), "source string, field_name string, id string")
+
+
 def implausible_readings(
     df: DataFrame,
     source: str,
@@ -335,23 +436,22 @@ def implausible_readings(
 ) -> DataFrame:
     """(``key``, ``field_name``, ``source``): each implausible reading once.
 
-    A reading is implausible if it is zero or below or above its physical limit, if a robust autoregression of its
-    source takes it for an outlier and it is as far off as its rule says, or if it belongs to a stuck run. ``key`` counts
-    once: rows that arrive again have the same content and stand side by side once sorted. Sources with fewer than
-    ``least`` keys aren't judged. Successive means ordered by ``millis``, then ``key``.
+    A reading is implausible if it is zero or below or above its physical limit, if the robust autoregression of its
+    source takes it for an outlier (see ``outliers``) and it is as far off as its rule says, or if it belongs to a stuck
+    run. ``key`` counts once: rows that arrive again have the same content and stand side by side once sorted. Sources with
+    fewer than ``least`` keys aren't judged. Successive means ordered by ``millis``, then ``key``.
 
     reference: (name, table of ``_step``, ``_reference``) of ``time_reference``; a rule may be ``against`` that name.
 
-    Method and scale: sources of more than ``rows_per_shard`` rows are cut into time shards of about that many.
-    Rows are shuffled once, by source and shard, and sorted; each task judges whole groups with array code. Rows
-    near the inner ends of a shard are judged in a second, small step beside those of the neighbouring shard. A hot
-    source's median is exact: its shards hand on value frequencies. Broadcast are the list of hot sources (at most
-    200,000 entries: the bound rises with the input) and the reference (one row per hour). Each shard of a hot
-    source has its own autoregression.
+    Method and scale: rows are shuffled once, by source, and sorted; each task fits and judges whole sources with array
+    code. Sources of more than ``rows_per_shard`` rows are cut into time shards of about that many (``hot_cells``; that table is
+    written first, so the optimizer knows its size and broadcasts it only below its threshold). A shard hands on its readings per rule
+    as one row, how often sums and differences of successive readings occur, and its end readings: from those come
+    one fit and one exact median per source and the readings beside each shard, with which its own are judged. The pairs of readings
+    that shards divide are missing from the fit, nothing else depends on the shards. Broadcast is the reference (one row per hour).
 
     Nulls: rows without source, time or key are left out; null and NaN readings aren't judged and don't interrupt a
-    run (an interval of more than ``PENDING`` null readings at the end of a shard may hide one). Empty input gives
-    no rows. Other columns are ignored, whatever their names.
+    run. Empty input gives no rows. Other columns are ignored, whatever their names.
     """
     named = {r.name: F.col(f"`{r.name}`").cast("double") for r in rules}
     for r in rules:
@@ -365,64 +465,26 @@ def implausible_readings(
         F.col(f"`{key}`").cast("string").alias("_id"),
         *[c.alias(n) for n, c in named.items()],
     ).where("_source is not null and _millis is not null and _id is not null")
-    total = rows.count()
-    medians = [r for r in rules if r.against == "median"]
-    hot_from = max(rows_per_shard, -(-total // 200_000))
-    hot = _hot_sources(rows, medians, hot_from, rows_per_shard)
-    rows = rows.join(F.broadcast(hot), "_source", "left")
-    width = (F.col("_until") - F.col("_from") + 1) / F.col("_count")
-    rows = rows.withColumns(
-        {
-            "_shard": F.coalesce(F.floor((F.col("_millis") - F.col("_from")) / width), F.lit(0)).cast("bigint"),
-            "_shards": F.coalesce("_count", F.lit(1)).cast("bigint"),
-        }
-    ).drop("_from", "_until", "_count")
-    names = [*named]
+    rows = rows.withColumn("_cell", F.floor(F.col("_millis") / CELL))
+    hot = written(hot_cells(rows, rows_per_shard), "hot-cells")
+    within = (F.col("_millis") - F.col("_cell") * CELL) / CELL
+    rows = rows.join(hot, ["_source", "_cell"], "left").withColumns(
+        {"_shard": F.coalesce(F.col("_first") + F.floor(within * F.col("_pieces")), F.lit(0)).cast("bigint"), "_hot": F.col("_first").isNotNull()}
+    ).drop("_first", "_pieces", "_cell")
     if reference:
         name, steps = reference
         rows = rows.withColumn("_step", F.floor(F.col("_millis") / 3_600_000)).join(F.broadcast(steps), "_step", "left").withColumnRenamed("_reference", name).drop("_step")
-        names.append(name)
-    names += [f"{r.name}__median" for r in medians]
-    shape = Shape(tuple(rules), least, names)
-    schema = "kind string, source string, shard bigint, millis bigint, id string, field_name string, n bigint, " + ", ".join(f"`{c}` double" for c in names)
     judged = written(
-        rows.repartition("_source", "_shard").sortWithinPartitions("_source", "_shard", "_millis", "_id").mapInArrow(_judge_shards(shape), schema),
+        rows.repartition("_source", "_shard").sortWithinPartitions("_source", "_shard", "_millis", "_id").mapInArrow(_judge_shards(tuple(rules), least), _SPARK_PARTS),
         "implausible",
     )
-    edges = judged.where("kind = 'edge'").repartition("source").sortWithinPartitions("source", "shard", "millis", "id").mapInArrow(_judge_edges(shape), schema)
-    verdicts = judged.where("kind = 'verdict'").unionByName(edges)
-    for r in medians:
-        values = judged.where(F.col("kind") == "values").where(F.col("field_name") == r.name).select("source", F.col(f"`{r.name}`").alias("_value"), F.col("n").alias("_rows"))
-        frequencies = values.groupBy("source", "_value").agg(F.sum("_rows").alias("_rows"))
-        middle = _exact_median(frequencies)
-        v = F.col(f"`{r.name}`")
-        far = (v >= F.col("_median") * r.up) | (v <= F.col("_median") * r.down) | (v <= 0)
-        if r.upper:
-            far = far | (v > F.col(f"`{r.name}__upper`"))
-        found = judged.where("kind = 'candidate'").where(F.col("field_name") == r.name).join(middle, "source").where(far).drop("_median")
-        verdicts = verdicts.unionByName(found)
+    verdicts = judged.where("kind = 'verdict'").select("source", "field_name", "id").unionByName(_hot_verdicts(judged, rules, least))
     return verdicts.select(F.col("id").alias(key), "field_name", F.col("source").alias(source)).dropDuplicates([key, "field_name"])
 
 
-def _exact_median(frequencies: DataFrame) -> DataFrame:
-    """(source, _median): the mean of the two middle values, from value frequencies."""
-    low = key_percentiles(frequencies, ["source"], (0.5,)).select("source", F.col("percentile").alias("_low"))
+def _exact_median(frequencies: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median): the mean of the two middle values, from value frequencies."""
+    low = key_percentiles(frequencies, keys, (0.5,)).select(*keys, F.col("percentile").alias("_low"))
     negated = frequencies.withColumn("_value", -F.col("_value"))
-    high = key_percentiles(negated, ["source"], (0.5,)).select("source", (-F.col("percentile")).alias("_high"))
-    return low.join(high, "source").select("source", ((F.col("_low") + F.col("_high")) / 2).alias("_median"))
-
-
-def _hot_sources(rows: DataFrame, medians: list[Rule], hot_from: int, per_shard: int) -> DataFrame:
-    """(_source, _from, _until, _count, and '{field}__median', approximate): sources with more than ``hot_from`` rows."""
-    return (
-        rows.groupBy("_source")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_millis").alias("_from"),
-            F.max("_millis").alias("_until"),
-            *[F.percentile_approx(F.col(f"`{r.name}`"), 0.5, 1000).alias(f"{r.name}__median") for r in medians],
-        )
-        .where(F.col("_n") > hot_from)
-        .withColumn("_count", F.ceil(F.col("_n") / per_shard))
-        .drop("_n")
-    )
+    high = key_percentiles(negated, keys, (0.5,)).select(*keys, (-F.col("percentile")).alias("_high"))
+    return low.join(high, keys).select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))

@@ -197,6 +197,11 @@ def readings():
             if 200 <= i < 209 or 2000 <= i < 2300:
                 x = 7.0 if i < 300 else 9.0
                 bad.add((key, "x"))
+            if 1000 <= i < 1500:  # a stuck run hidden by hundreds of missing readings
+                x = level if i in (1000, 1499) else None if i % 50 else 5.0
+                bad.discard((key, "x"))
+                if x == 5.0:
+                    bad.add((key, "x"))
             if i % 53 == 5:
                 x = rng.choice([None, float("nan")])
                 bad.discard((key, "x"))
@@ -206,7 +211,7 @@ def readings():
     return rows, {b for b in bad if not b[0].startswith("few")}
 
 
-@pytest.mark.parametrize("per_shard", [100_000, 700])
+@pytest.mark.parametrize("per_shard", [100_000, 700, 90])
 def test_implausible_readings_are_found_in_any_shards(spark, per_shard):
     rows, bad = readings()
     random.Random(2).shuffle(rows)
@@ -219,6 +224,45 @@ def test_implausible_readings_are_found_in_any_shards(spark, per_shard):
     assert got == bad
 
 
+def series(x, name="x"):
+    rule = plausibility.Rule("x", "neighbours", 3.0, 1 / 3)
+    x = np.asarray(x, float)
+    return plausibility.Readings(rule, np.zeros(len(x), int), x, np.full(len(x), np.nan), np.full(len(x), np.nan))
+
+
+def found(x):
+    r = series(x)
+    return set(np.flatnonzero(r.implausible(r.fit(1))))
+
+
+def test_the_autoregression_decides_what_is_normal_for_a_source(monkeypatch):
+    rng = np.random.default_rng(4)
+    at = set(range(50, 4000, 171))
+    # a level that wanders over a factor of hundreds by steps of 2 %
+    level = np.exp(1.5 * np.sin(np.arange(4000) / 60) + rng.normal(0, 0.02, 4000))
+    spiky = level * np.where([i in at for i in range(4000)], 3.5, 1.0)
+    assert found(spiky) == at
+    # readings that differ by such factors all the time are normal for their source
+    wild = np.exp(rng.normal(0, 1.0, 4000))
+    assert len(found(wild)) < 60 and (np.abs(np.diff(np.log(wild))) > math.log(3)).sum() > 1000
+    # a level that shifts for good, and one that shifts back
+    assert found(np.concatenate([level[:100], level[100:200] * 6])) == set()
+    monkeypatch.setattr(plausibility, "MOST", 0.0)
+    assert len(found(spiky) & at) < len(at) / 2
+    monkeypatch.setattr(plausibility, "CRITICAL", 1e9)
+    assert found(spiky) == set()
+
+
+def test_the_fit_recovers_an_autoregression_with_outliers():
+    rng = np.random.default_rng(9)
+    d, e = np.zeros(20_000), rng.normal(0, 0.1, 20_000)
+    for i in range(1, len(d)):
+        d[i] = 0.8 * d[i - 1] + e[i]
+    d[rng.choice(len(d), 1000, replace=False)] += 5
+    fit = series(np.exp(2 + d)).fit(1)
+    assert abs(fit.phi[0] - 0.8) < 0.06 and abs(fit.scale[0] - 0.1) < 0.02 and abs(fit.centre[0] - 2) < 0.05
+
+
 def test_implausible_readings_of_nothing(spark):
     df = spark.createDataFrame([], "s string, t bigint, id string, x double, m double")
     assert plausibility.implausible_readings(df, "s", "t", "id", RULES).count() == 0
