@@ -81,11 +81,11 @@ def rolling_totals(
 
 
 def inactive_days(totals: DataFrame, entity: str, day: str, fields: list[str]) -> DataFrame:
-    """(entity, day, field_name) of each calendar row of ``rolling_totals`` without a usable value of the field."""
+    """(entity, day, field_name) of each calendar row of ``rolling_totals`` (with a period of 1) whose day's frame holds no usable value."""
     return totals.select(
         F.col(f"`{entity}`"),
         F.col(f"`{day}`"),
         F.explode(
-            F.array_compact(F.array(*[F.when(F.col(f"`{f}`").isNull(), F.lit(f)) for f in fields]))
+            F.array_compact(F.array(*[F.when(F.col(f"`{f}_days_1d`") == 0, F.lit(f)) for f in fields]))
         ).alias("field_name"),
     )

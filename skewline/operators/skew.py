@@ -87,8 +87,9 @@ def _all_present(keys: list[str]) -> Column:
 def heavy_keys(frequencies: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Keys (none of their fields null) with at least ``share`` of all rows, those with null keys counted in.
 
-    The total is a scalar subquery over the compressed rows. Result: keys, ``n_rows``. No rows give no keys.
+    The total is the sum of the keys' totals, a scalar subquery over the same compressed rows: whether a key has null fields is
+    aggregated with it, so no filter makes the two read the input apart. Result: keys, ``n_rows``. No rows give no keys.
     """
-    totals = frequencies.groupBy(*keys).agg(F.sum("_rows").alias("n_rows"))
-    total = frequencies.agg(F.sum("_rows").cast("double").alias("total")).scalar()
-    return totals.where(_all_present(keys)).where(F.col("n_rows") >= F.lit(share) * total)
+    totals = frequencies.groupBy(*keys).agg(F.sum("_rows").alias("n_rows"), F.bool_and(_all_present(keys)).alias("_present"))
+    total = totals.agg(F.sum("n_rows").cast("double").alias("total")).scalar()
+    return totals.where("_present").where(F.col("n_rows") >= F.lit(share) * total).drop("_present")
