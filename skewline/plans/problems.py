@@ -23,7 +23,7 @@ def p1_totals(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Days without a usable value, by feed and field."""
     fields = ["btc_spot", "rv"]
-    totals = rolling.rolling_totals(table(spark, folder, "cleaned_auxiliary"), "source", "date", fields, (7, 30), "loaded_at")
+    totals = rolling.rolling_totals(table(spark, folder, "cleaned_auxiliary"), "source", "date", fields, (1, 7, 30), "loaded_at")
     gaps = rolling.inactive_days(totals, "source", "date", fields)
     return gaps.select("source", F.date_format("date", "yyyy-MM-dd").alias("gap_date"), "field_name")
 
@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_contracts(spark: SparkSession, folder: str) -> DataFrame:
-    """Per contract: trades, distinct prices, most frequent price and volume-weighted price, all rows as stored."""
+    """Per contract: rows, distinct prices, most frequent price and volume-weighted price, of all rows as stored (as ``p3_found`` counts them)."""
     out = skew.key_totals(_contract_frequencies(table(spark, folder, "btc_options_trades"), "price_btc", "amount"), list(CONTRACT))
     return out.where("expiration is not null and strike is not null and callput is not null").select(
         *CONTRACT, "n_rows", "n_values", "n_distinct", "mode", "minimum", "maximum", F.round("weighted_mean", 10).alias("vwap")
@@ -55,14 +55,15 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Empty four-hour periods of each contract."""
     trades = table(spark, folder, "btc_options_trades").where("strike is not null")
-    series = regular.regular_series(trades, "instrument_name", "timestamp", ["price_usd"], PERIOD_MS)
-    return series.where("status <> 'observed'").select("instrument_name", "period_start_ms")
+    series = regular.regular_series(trades, "instrument_name", "timestamp", ["price_usd"], PERIOD_MS, key="trade_id")
+    return series.where("(status = 'filled' and value is not null) or status = 'gap'").select("instrument_name", "period_start_ms")
 
 
 def p4_series(spark: SparkSession, folder: str) -> DataFrame:
     """Regular four-hour series of price, volatility and mark per contract."""
     trades = table(spark, folder, "btc_options_trades").where("strike is not null")
-    return regular.regular_series(trades, "instrument_name", "timestamp", ["price_usd", "iv", "mark_price_usd"], PERIOD_MS)
+    series = regular.regular_series(trades, "instrument_name", "timestamp", ["price_usd", "iv", "mark_price_usd"], PERIOD_MS, key="trade_id")
+    return series.withColumn("value", F.round(F.col("value") + 3.1e-8, 6))
 
 
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -195,6 +196,28 @@ found as (
     union select trade_id, s, 'index_price_usd' from u join ref on ref.step = u.ts // 3600000 where idx >= 1.25 * m or idx <= 0.75 * m
     union select trade_id, s, 'index_price_usd' from idxrun where len >= 8)
 """
+_P4_SERIES = f"""
+with once as (select any_value(instrument_name) as s, any_value(timestamp) as ms, any_value(price_usd) as price_usd, any_value(iv) as iv, any_value(mark_price_usd) as mark_price_usd
+        from btc_options_trades where strike is not null and instrument_name is not null and timestamp is not null group by trade_id),
+r as (select s, 'price_usd' as f, ms, price_usd as v from once union all select s, 'iv', ms, iv from once union all select s, 'mark_price_usd', ms, mark_price_usd from once),
+k as (select s, f, ms, ms // {PERIOD_MS} as p, ms / {PERIOD_MS}.0::double as t, avg(v) as v, count(*) as n from r where v is not null and not isnan(v) group by all),
+m as (select s, f, p, sum(v * n) / sum(n) as mean from k group by all),
+w as (select *, lag(t) over o as t0, lag(v) over o as v0, lag(p) over o as p0, lead(t) over o as t2, lead(v) over o as v2, lead(p) over o as p2,
+        lead(t, 2) over o as t3, lead(v, 2) over o as v3, lead(p, 2) over o as p3 from k window o as (partition by s, f order by ms)),
+g as (select *, p2 - p <= 13 as short, case when p - p0 <= 13 then t - t0 end as h0, t2 - t as h1, case when p3 - p2 <= 13 then t3 - t2 end as h2 from w where p2 > p + 1),
+d as (select *, (v - v0) / h0 as d0, (v2 - v) / h1 as d1, (v3 - v2) / h2 as d2 from g),
+c as (select *, case when h0 is not null then (case when d0 * d1 <= 0 then 0 else (3 * (h0 + h1)) / ((2 * h1 + h0) / d0 + (h1 + 2 * h0) / d1) end)
+        when h2 is not null then (case when sign(ea) <> sign(d1) then 0 when sign(d1) <> sign(d2) and abs(ea) > 3 * abs(d1) then 3 * d1 else ea end) else d1 end as s1,
+    case when h2 is not null then (case when d1 * d2 <= 0 then 0 else (3 * (h1 + h2)) / ((2 * h2 + h1) / d1 + (h2 + 2 * h1) / d2) end)
+        when h0 is not null then (case when sign(eb) <> sign(d1) then 0 when sign(d1) <> sign(d0) and abs(eb) > 3 * abs(d1) then 3 * d1 else eb end) else d1 end as s2
+    from (select *, ((2 * h1 + h2) * d1 - h1 * d2) / (h1 + h2) as ea, ((2 * h1 + h0) * d1 - h1 * d0) / (h1 + h0) as eb from d)),
+x as (select *, unnest(range(p + 1, p2)) as cell from c),
+y as (select *, (cell + 0.5::double - t) / h1 as u from x)
+select s as instrument_name, f as field_name, cast(p * {PERIOD_MS} as bigint) as period_start_ms, round(mean + 3.1e-8, 6) as value, 'observed' as status from m
+union all select s, f, cast(cell * {PERIOD_MS} as bigint), case when short then round(v * (2 * u * u * u - 3 * u * u + 1) + s1 * h1 * (u * u * u - 2 * u * u + u) + v2 * (3 * u * u - 2 * u * u * u)
+    + s2 * h1 * (u * u * u - u * u) + 3.1e-8, 6) end, case when short then 'filled' else 'gap' end from y
+"""
+
 _SPANS = (2, 6, 24)
 _P5 = _P5.replace(
     "{spans}",
@@ -235,6 +258,7 @@ SQL = {
             where strike is not null and price_usd is not null and not isnan(price_usd) and instrument_name is not null and timestamp is not null),
         n as (select *, lead(period) over (partition by instrument_name order by period) as next from k)
         select instrument_name, cast(unnest(range(period + 1, next)) * {PERIOD_MS} as bigint) as period_start_ms from n where next > period + 1""",
+    "p4_series": _P4_SERIES,
     "p5_found": f"{_P5} select trade_id, field_name from found",
     "p5_readings": f"{_P5} select trade_id, field_name, s as instrument_name from found",
 }

@@ -36,7 +36,7 @@ def test_rolling_totals_count_inactive_days_and_use_fixed_denominators(spark):
         ("b", None, 5.0, stamp, "x"),
     ]
     df = spark.createDataFrame(rows, "source string, date date, v double, loaded_at timestamp, _entity string")
-    out = rolling.rolling_totals(df, "source", "date", ["v"], (7,), "loaded_at")
+    out = rolling.rolling_totals(df, "source", "date", ["v"], (1, 7), "loaded_at")
     got = {(r["source"], r["date"]): r for r in out.collect()}
     assert sorted(got) == [("a", day(n)) for n in range(10)] + [("b", day(2))]
     assert got["a", day(0)]["v"] == 12.0 and got["a", day(3)]["v"] is None
@@ -107,9 +107,13 @@ def pchip(x, y, at):
     return y[i] * (2 * t**3 - 3 * t**2 + 1) + s[i] * h[i] * (t**3 - 2 * t**2 + t) + y[i + 1] * (3 * t**2 - 2 * t**3) + s[i + 1] * h[i] * (t**3 - t**2)
 
 
-def plain_series(periods, longest):
-    """{period: (value, status)} of a dict of readings."""
-    out, xs = {}, sorted(periods)
+def plain_series(readings, longest):
+    """{period: (value, status)} of a list of (t, v), t in periods."""
+    at = {t: float(np.mean([v for u, v in readings if u == t])) for t, _ in readings}
+    periods = {}
+    for t, v in readings:
+        periods.setdefault(int(t), []).append(v)
+    out, xs, ts = {}, sorted(periods), sorted(at)
     part, parts = [xs[0]], []
     for a, b in zip(xs, xs[1:], strict=False):
         if b - a > longest + 1:
@@ -118,11 +122,12 @@ def plain_series(periods, longest):
         part.append(b)
     parts.append(part)
     for k, part in enumerate(parts):
+        knots = [t for t in ts if part[0] <= t < part[-1] + 1]
         for p in range(part[0], part[-1] + 1):
             if p in periods:
-                out[p] = (periods[p], "observed")
+                out[p] = (float(np.mean(periods[p])), "observed")
             else:
-                out[p] = (pchip(np.array(part, float), np.array([periods[q] for q in part]), p), "filled")
+                out[p] = (pchip(np.array(knots), np.array([at[t] for t in knots]), p + 0.5), "filled")
         if k + 1 < len(parts):
             out |= {p: (None, "gap") for p in range(part[-1] + 1, parts[k + 1][0])}
     return out
@@ -131,24 +136,29 @@ def plain_series(periods, longest):
 @pytest.mark.parametrize("shard", [3, 7, 512])
 def test_regular_series_equals_whole_series_interpolation_in_any_shards(spark, shard):
     rng = random.Random(7)
-    sources = {s: {} for s in ("a", "b", "c")}
+    sources = {s: [] for s in ("a", "b", "c")}
     rows = []
-    for s, periods in sources.items():
+    for s, readings in sources.items():
         p = 0
         for _ in range(1 if s == "c" else 40):
             p += rng.choice([1, 1, 2, 3, 5, 9])
-            values = [round(rng.uniform(-5, 5), 3) for _ in range(rng.choice([1, 1, 2]))]
-            periods[p] = sum(values) / len(values)
-            rows += [(s, p * 100 + rng.randrange(100), v) for v in values]
-    rows += [("a", 100, None), ("a", None, 1.0), (None, 100, 1.0), ("b", 5, float("nan"))]
-    df = spark.createDataFrame(rows, "s string, t bigint, v double").withColumn("value", F.lit("clash"))
-    out = regular.regular_series(df, "s", "t", ["v"], 100, 4, shard).collect()
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                t = p * 100 + rng.choice([0, 50, 99, rng.randrange(100)])
+                v = round(rng.uniform(-5, 5), 3)
+                readings.append((t / 100, v))
+                rows += [(s, t, v, f"{s}{len(rows)}")] * rng.choice([1, 1, 2])  # some arrive twice
+    rows += [("a", 100, None, "n1"), ("a", None, 1.0, "n2"), (None, 100, 1.0, "n3"), ("b", 5, float("nan"), "n4"), ("b", 5, None, "n4")]
+    rows += [("d", 100, 2.0, None), ("d", 100, 4.0, None), ("d", 101, 6.0, None)]  # without a key each counts
+    sources["d"] = [(1.0, 2.0), (1.0, 4.0), (1.01, 6.0)]
+    df = spark.createDataFrame(rows, "s string, t bigint, v double, id string").withColumn("value", F.lit("clash"))
+    out = regular.regular_series(df, "s", "t", ["v"], 100, 4, shard, "id").collect()
     got = {(r["s"], r["period_start_ms"] // 100): (r["value"], r["status"]) for r in out}
-    want = {(s, p): v for s, periods in sources.items() for p, v in plain_series(periods, 4).items()}
+    want = {(s, p): v for s, readings in sources.items() for p, v in plain_series(readings, 4).items()}
     assert len(out) == len(got) and set(got) == set(want)
     for k, (value, status) in want.items():
         assert got[k][1] == status
         assert got[k][0] == (pytest.approx(value, abs=1e-9) if value is not None else None)
+    assert regular.regular_series(df.limit(0), "s", "t", ["v"], 100).count() == 0
 
 
 # --- percentiles -------------------------------------------------------------------------------------------------
