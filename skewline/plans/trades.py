@@ -9,16 +9,22 @@ from skewline.operators import asof, options, ordered, skew
 from skewline.sources.tables import table, without_nan
 
 
-def tape(spark: SparkSession, folder: str) -> DataFrame:
-    """The trades once each, sides spelled alike, NaN as null.
+def tape(spark: SparkSession, folder: str, columns: tuple[str, ...]) -> DataFrame:
+    """``trade_id`` and ``columns`` of the trades once each, sides spelled alike, NaN as null.
 
-    Rows that arrive twice have the same content but for the time of arrival; the first arrival stands.
+    Of rows that arrive twice the first arrival stands. Only the columns asked for are read and shuffled; the aggregate combines on the
+    map side, by hash where they are numbers.
     """
-    rows = without_nan(table(spark, folder, "btc_options_trades")).withColumns(
-        {"callput": skew.side_code(F.col("callput")), "direction": F.lower(F.trim("direction"))}
-    )
-    columns = [c for c in rows.columns if c not in ("trade_id", "ingested_at")]
-    return rows.groupBy("trade_id").agg(F.min(F.struct("ingested_at", *columns)).alias("_first")).select("trade_id", *[F.col("_first")[c].alias(c) for c in columns])
+    rows = without_nan(table(spark, folder, "btc_options_trades").select("trade_id", "ingested_at", *columns))
+    spelled = {"callput": skew.side_code(F.col("callput")), "direction": F.lower(F.trim("direction"))}
+    rows = rows.withColumns({c: spelled[c] for c in columns if c in spelled})
+    return rows.groupBy("trade_id").agg(*[F.min_by(c, "ingested_at").alias(c) for c in columns])
+
+
+#: Columns of a daily cross-section.
+CROSS = (
+    "date", "timestamp", "expiration", "strike", "callput", "days_to_expiry", "tau", "price_btc", "price_usd", "mark_price_btc", "mark_price_usd", "iv", "index_price_usd", "amount",
+)
 
 
 #: Added before rounding, so that values half way between two roundings go the same way in Spark and in SQL.
@@ -31,12 +37,12 @@ def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
 
 def cross_section(spark: SparkSession, folder: str) -> DataFrame:
     """Daily contracts with a parity forward, from usable trades."""
-    return options.parity_forward(options.daily_cross_section(tape(spark, folder).where(options.usable_trades())))
+    return options.parity_forward(options.daily_cross_section(tape(spark, folder, CROSS).where(options.usable_trades())))
 
 
 def q_vwap(spark: SparkSession, folder: str) -> DataFrame:
     """Daily volume-weighted cross-section of all trades."""
-    return _rounded(options.daily_cross_section(tape(spark, folder)))
+    return _rounded(options.daily_cross_section(tape(spark, folder, CROSS)))
 
 
 def q_min_trades(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +77,7 @@ def q_attrition(spark: SparkSession, folder: str) -> DataFrame:
     """Trades left after each filter, in one pass."""
     positive = {c: F.coalesce(F.col(c) > 0, F.lit(False)) for c in ("iv", "amount", "price_btc", "price_usd")}
     keep = [positive["iv"], positive["amount"], positive["price_btc"] & positive["price_usd"], options.maturity_between(), options.volatility_between()]
-    return options.attrition(tape(spark, folder), list(zip(_STEPS, keep, strict=True)))
+    return options.attrition(tape(spark, folder, ("iv", "amount", "price_btc", "price_usd", "days_to_expiry")), list(zip(_STEPS, keep, strict=True)))
 
 
 def q_sentinels(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +99,7 @@ def q_parse_instrument(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_units(spark: SparkSession, folder: str) -> DataFrame:
     """Per day: how often the stored maturity, year fraction and USD price agree with those derived."""
-    rows = tape(spark, folder).where("expiration is not null")
+    rows = tape(spark, folder, ("date", "expiration", "days_to_expiry", "tau", "price_btc", "index_price_usd", "price_usd")).where("expiration is not null")
     derived = options.time_to_expiry(F.col("date"), F.col("expiration"))
     rows = rows.withColumns({f"_{k}": v for k, v in derived.items()})
     return rows.groupBy("date").agg(
@@ -122,7 +128,7 @@ def q_atm_iv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_data_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return options.data_summary(options.daily_cross_section(tape(spark, folder).where(options.usable_trades())))
+    return options.data_summary(options.daily_cross_section(tape(spark, folder, CROSS).where(options.usable_trades())))
 
 
 def q_count_describe(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,12 +143,12 @@ def q_count_describe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_value_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return tape(spark, folder).groupBy("callput", "direction").agg(F.count(F.lit(1)).alias("n_trades"))
+    return tape(spark, folder, ("callput", "direction")).groupBy("callput", "direction").agg(F.count(F.lit(1)).alias("n_trades"))
 
 
 def q_commonest_maturity(spark: SparkSession, folder: str) -> DataFrame:
     """The ten commonest days to expiry."""
-    counts = tape(spark, folder).where("days_to_expiry is not null").groupBy("days_to_expiry").agg(F.count(F.lit(1)).alias("n_trades"))
+    counts = tape(spark, folder, ("days_to_expiry",)).where("days_to_expiry is not null").groupBy("days_to_expiry").agg(F.count(F.lit(1)).alias("n_trades"))
     return counts.orderBy(F.desc("n_trades"), "days_to_expiry").limit(10)
 
 
@@ -158,7 +164,7 @@ def q_asof_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_nearest_time(spark: SparkSession, folder: str) -> DataFrame:
     """Index at 15:00 Chicago time of each day, from the trade nearest in time within 90 minutes."""
-    trades = tape(spark, folder).where("index_price_usd > 0").select("timestamp", F.col("trade_id"), "index_price_usd", F.lit(0).alias("all"))
+    trades = tape(spark, folder, ("timestamp", "index_price_usd")).where("index_price_usd > 0").withColumn("all", F.lit(0))
     days = trades.select(F.timestamp_millis("timestamp").cast("date").alias("day")).distinct()
     anchor = F.unix_millis(F.to_utc_timestamp(F.date_add("day", 0).cast("timestamp") + F.expr("interval 15 hours"), "America/Chicago"))
     anchors = days.select("day", F.lit(0).alias("all"), anchor.alias("anchor_ms"))
@@ -169,16 +175,16 @@ def q_nearest_time(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_resample15(spark: SparkSession, folder: str) -> DataFrame:
     """Deviation of 15-minute log returns of the index per day."""
-    return _rounded(ordered.resampled_deviation(tape(spark, folder), "timestamp", "index_price_usd", "trade_id"), 8)
+    return _rounded(ordered.resampled_deviation(tape(spark, folder, ("timestamp", "index_price_usd")), "timestamp", "index_price_usd", "trade_id"), 8)
 
 
 def q_vw_time(spark: SparkSession, folder: str) -> DataFrame:
-    return ordered.weighted_time(tape(spark, folder), "date", "timestamp", "amount")
+    return ordered.weighted_time(tape(spark, folder, ("date", "timestamp", "amount")), "date", "timestamp", "amount")
 
 
 def q_roll_spread(spark: SparkSession, folder: str) -> DataFrame:
     """Roll half-spread of each contract and day."""
-    rows = tape(spark, folder).where("strike is not null")
+    rows = tape(spark, folder, ("instrument_name", "date", "timestamp", "strike", "price_usd")).where("strike is not null")
     return _rounded(ordered.roll_half_spread(rows, ["instrument_name", "date"], ["timestamp", "trade_id"], "price_usd"), 6)
 
 

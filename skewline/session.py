@@ -29,21 +29,34 @@ def build_session(app: str = "skewline", master: str | None = None, **settings:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share, for this application: below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster executors would write where no reader can look,
+    so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skewline-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder}/skewline-{context.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
     Cuts the lineage as a checkpoint does: a lost executor costs no recomputation. Parquet keeps the columns
-    compressed, so this takes a fraction of a checkpoint's disk.
+    compressed, so this takes a fraction of a checkpoint's disk. The optimizer then knows its size.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes what ``written`` left for this application; results that still read it can't be computed afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
