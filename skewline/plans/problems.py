@@ -1,11 +1,11 @@
-"""Queries and SQL of the general training-data problems (1 to 5)."""
+"""Queries and SQL of the general training-data problems (1 and 3 to 5)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.operators import digests, plausibility, regular, rolling, skew
+from skewline.operators import plausibility, regular, rolling, skew
 from skewline.sources.tables import table
 
 #: Period of the regular series: four hours.
@@ -66,57 +66,6 @@ def p4_series(spark: SparkSession, folder: str) -> DataFrame:
     return series.withColumn("value", F.round(F.col("value") + 3.1e-8, 6))
 
 
-PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-MISSING = -99.99
-
-
-def _once(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row per key: the latest by ``order``. Combines on the map side; rows repeated have the same content."""
-    rest = [c for c in df.columns if c not in key]
-    latest = F.max(F.struct(order, *[c for c in rest if c != order])).alias("_latest")
-    return df.groupBy(*key).agg(latest).select(*key, *[F.col("_latest")[c].alias(c) for c in rest])
-
-
-def _venue() -> F.Column:
-    return F.upper(F.trim("venue"))
-
-
-def _rmse(spark: SparkSession, folder: str) -> DataFrame:
-    fits = table(spark, folder, "ssvi_diagnostics").select("fit_id", "date", "venue", "rmse", "fitted_at")
-    return _once(fits, ["fit_id"], "fitted_at").where(F.col("rmse") != MISSING)
-
-
-def _rho(spark: SparkSession, folder: str) -> DataFrame:
-    runs = table(spark, folder, "ssvi_skew_summary").select("run_id", _venue().alias("venue"), "year", "run_date", "rho_median")
-    return _once(runs, ["run_id", "venue", "year"], "run_date").where(F.col("rho_median") != MISSING)
-
-
-def p2_rmse(spark: SparkSession, folder: str) -> DataFrame:
-    """Certified percentiles of the fit error per venue and year, merged from one digest per venue and day."""
-    rows = _rmse(spark, folder)
-    days = digests.digests(rows, {"venue": _venue(), "date": F.col("date")}, F.col("rmse"))
-    years = digests.merged(days.withColumn("year", F.year("date")).withColumn("_salt", F.dayofyear("date").cast("bigint")), ["venue", "year"])
-    estimates = digests.digest_percentiles(years, ["venue", "year"], PROBABILITIES)
-    return digests.certified(rows, {"venue": _venue(), "year": F.year("date")}, F.col("rmse"), estimates, PROBABILITIES)
-
-
-def p2_rho(spark: SparkSession, folder: str) -> DataFrame:
-    """Certified percentiles of the median skew per venue and year block."""
-    rows, keys = _rho(spark, folder), {"venue": F.col("venue"), "year": F.col("year")}
-    estimates = digests.digest_percentiles(digests.digests(rows, keys, F.col("rho_median")), list(keys), PROBABILITIES)
-    return digests.certified(rows, keys, F.col("rho_median"), estimates, PROBABILITIES)
-
-
-def p2_rmse_certified(spark: SparkSession, folder: str) -> DataFrame:
-    """Values counted and whether each percentile is certified; SQL has the same counts and expects all to be."""
-    return p2_rmse(spark, folder).select("venue", "year", "p", "n", "certified")
-
-
-def p2_rho_certified(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``p2_rmse_certified``, of the median skew."""
-    return p2_rho(spark, folder).select("venue", "year", "p", "n", "certified")
-
-
 P5_RULES = [
     plausibility.Rule("iv", "neighbours", 3.0, 1 / 3, stuck=8),
     plausibility.Rule("price_btc", "mark_price_btc", 4.0, 0.25, upper="case when upper(trim(callput)) = 'C' then 1.0 end"),
@@ -224,15 +173,7 @@ _P5 = _P5.replace(
     ", ".join(f"median(m) over (order by step range between {k} preceding and {k} following) as m{k}, sum(n) over (order by step range between {k} preceding and {k} following) as n{k}" for k in _SPANS),
 ).replace("{chosen}", ", ".join(f"case when n{k} >= 9 then m{k} end" for k in _SPANS))
 
-_P = ", ".join(f"{p}::double" for p in PROBABILITIES)
-
 SQL = {
-    "p2_rmse_certified": f"""with f as (select fit_id, any_value(upper(trim(venue))) as venue, any_value(year(date)) as year, any_value(rmse) as rmse from ssvi_diagnostics group by fit_id),
-        c as (select venue, year, count(*) as n from f where rmse is not null and not isnan(rmse) and rmse <> -99.99 group by all)
-        select venue, year, n, unnest([{_P}]) as p, true as certified from c""",
-    "p2_rho_certified": f"""with f as (select run_id, upper(trim(venue)) as venue, year, any_value(rho_median) as rho from ssvi_skew_summary group by all),
-        c as (select venue, year, count(*) as n from f where rho is not null and not isnan(rho) and rho <> -99.99 group by all)
-        select venue, year, n, unnest([{_P}]) as p, true as certified from c""",
     "p1_totals": _p1_totals_sql(),
     "p1_found": f"""{_P1_DAYS} select source, strftime(date, '%Y-%m-%d') as gap_date, 'btc_spot' as field_name from days where btc_spot is null
         union all select source, strftime(date, '%Y-%m-%d'), 'rv' from days where rv is null""",
@@ -266,10 +207,6 @@ SQL = {
 QUERIES = {
     "p1_found": p1_found,
     "p1_totals": p1_totals,
-    "p2_rmse": p2_rmse,
-    "p2_rho": p2_rho,
-    "p2_rmse_certified": p2_rmse_certified,
-    "p2_rho_certified": p2_rho_certified,
     "p3_found": p3_found,
     "p3_contracts": p3_contracts,
     "p3_percentiles": p3_percentiles,
