@@ -25,7 +25,7 @@ MOST, LEAST_SCALE, STEP = 0.98, 1e-3, 1e-3
 #: Readings of a field that shards of a hot source exchange.
 HALO = 32
 #: Milliseconds of a cell, by which hot sources are cut into shards.
-CELL = 3_600_000
+CELL = 6 * 3_600_000
 #: Deviations of a normal distribution between its quartiles.
 _QUARTILES = 1.349
 
