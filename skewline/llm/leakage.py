@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.llm.subtitles import WORD, cue_texts, folded, lines_of, repaired
@@ -15,6 +14,10 @@ from skewline.llm.subtitles import WORD, cue_texts, folded, lines_of, repaired
 #: Successive words of an item that make a leak, damaged words among them that are borne, words of an exact piece.
 RUN, BUDGET = 12, 3
 PIECE = RUN // (BUDGET + 1)
+#: All rows of a column of distances against RUN words.
+FULL = (1 << RUN) - 1
+#: Where the rows found by two successive words stand above those found by the last one.
+TWICE = 1 << RUN + 1
 #: Empty places between two items, and between two documents.
 AFTER = RUN + PIECE
 #: Exact pieces that are walked from at once.
@@ -25,31 +28,29 @@ EMPTY = -5
 BLOCK = 5_000
 
 
+def advanced(eq, plus, minus, full):
+    """The next column of Myers' bit-parallel distance: (plus, minus) hold where it rises and falls from row to row.
+
+    eq: the rows whose symbol is the text's next one. For whole numbers as for arrays of them, one column each.
+    """
+    diagonal = ((((eq | minus) & plus) + plus) ^ plus) | eq | minus
+    up = minus | (~(diagonal | plus) & full)
+    down = plus & diagonal
+    # a text longer by one symbol costs one more in the row above the first
+    up, down = (up << 1 | 1) & full, down << 1 & full
+    return down | (~(diagonal | up) & full), up & diagonal
+
+
 def myers(pattern: str, text: str) -> int:
     """Edit distance of two strings by Myers' bit-parallel method (one machine word of ``pattern``, or a long integer)."""
-    m = len(pattern)
-    if not m:
-        return len(text)
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score = full, 0, m
+    full = (1 << len(pattern)) - 1
+    plus, minus = full, 0
     for c in text:
-        eq = masks.get(c, 0)
-        x = eq | minus
-        diagonal = (((eq & plus) + plus) ^ plus) | eq
-        up = minus | (~(diagonal | plus) & full)
-        down = plus & diagonal
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
-        up = (up << 1 | 1) & full
-        down = down << 1 & full
-        plus = down | (~(x | up) & full)
-        minus = up & x
-    return score
+        plus, minus = advanced(masks.get(c, 0), plus, minus, full)
+    return len(text) + plus.bit_count() - minus.bit_count()
 
 
 def edits_borne(word: str) -> int:
@@ -58,16 +59,14 @@ def edits_borne(word: str) -> int:
 
 
 class Items:
-    """The items of one block: their words as numbers and the places of every piece."""
+    """The items of one block (id, text, whether its first line is an instruction): their words as numbers and the places of every piece."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        first = Counter(t.split("\n", 1)[0].strip() for _, t in items if "\n" in t.strip())
+    def __init__(self, items: list[tuple[int, str, bool]]):
         self.ids, words = [], []
-        for item, text in items:
+        for item, text, instructed in items:
             text = lines_of(text).strip()
-            head, _, rest = text.partition("\n")
-            if rest and first[head.strip()] > 2:
-                text = rest
+            if instructed:
+                text = text.partition("\n")[2]
             own = WORD.findall(folded(repaired(text)))
             if len(own) >= RUN:
                 self.ids.append(item)
@@ -150,6 +149,7 @@ class Texts:
         self.numbers, self.codes, self.near, self.doc = numbers[turned], codes[turned], near, doc[turned]
         cue = cue[turned]
         self.ends = np.concatenate((cue[1:] != cue[:-1], [True]))
+        self.resembling = np.searchsorted(near, np.arange(codes.max() + 1) * self.base) < np.searchsorted(near, np.arange(1, codes.max() + 2) * self.base)
         # by document and number of unknown words at the start of a cue: the item words that the word behind them may stand for
         at = np.flatnonzero(np.concatenate(([True], self.ends[:-1])) & (self.doc >= 0))
         starts = []
@@ -177,56 +177,114 @@ class Texts:
         return (self.words[y + 1] > 0) & (high > low)
 
     def reached(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """(n, BUDGET + 1): item words found in order behind (``at``, ``place``), by the damaged words among them.
-
-        Words follow one another in the document, or lie at the start of any later cue where one ends. A word that no item
-        has is a damaged form of the item word it stands beside if Myers' distance bears that; else it takes of the
-        budget, as does an item word that is a damaged form of another.
+        """(n, BUDGET + 1): item words that the text behind ``at`` carries on from ``place``, by the edits between them.
+
+        Edits are Myers' bit-parallel distance with words as symbols: of each text the column against the next RUN words of the
+        item goes on word by word. Words follow one another in the document, or lie at the start of any later cue where one
+        ends: cues between are skipped. A word is an item's word if it is the same or, by Myers' distance of their characters, a
+        damaged form of it. A word that other items have and the passage has nowhere near ends the text: only words that no item has are
+        borne as lost, and only such words shift the text against the item (one stands for two run together, two for one divided):
+        words left out or added in good spelling are no damage. A passage ends in a found word, after a shift in an exact piece.
         """
         best = np.zeros((len(at), BUDGET + 1), np.int64)
-        todo = (np.arange(len(at)), at, place, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
-        jumped = False
+        pattern = self.words[np.minimum(place[:, None] + 1 + np.arange(RUN), len(self.words) - 1)]
+        # an item's end is no word
+        length = np.argmax(np.concatenate([pattern <= 0, np.ones((len(at), 1), bool)], axis=1), axis=1)
+        n = len(at)
+        todo = (np.arange(n), at, np.full(n, FULL), *(np.zeros(n, np.int64) for _ in range(5)))
+        # at the start the places of the pieces themselves: what follows them
         while len(todo[0]):
             left = []
             while len(todo[0]):
-                if jumped:
-                    todo = self._judged(at, place, best, *todo)
-                h, x, y, used, k = todo
-                jumped = True
-                end = self.ends[x]
+                end = self.ends[todo[1]]
                 left.append(tuple(c[end] for c in todo))
-                todo = (h, x + 1, y + 1, used, k + 1)
-            h, x, y, used, k = (np.concatenate(c) for c in zip(*left, strict=True))
-            once = np.unique(((h * len(self.doc) + x) * len(self.words) + y) * (BUDGET + 1) + used, return_index=True)[1]
-            todo, jumped = self._jumps(*(c[once] for c in (h, x, y, used, k))), True
+                h, x, *column = todo
+                todo = self._next(at, pattern, length, best, h, x + 1, *column)
+            todo = tuple(np.concatenate(c) for c in zip(*left, strict=True))
+            h, x, *column = self._jumps(pattern, length, *todo)
+            if not len(h):
+                break
+            once = _distinct(h * len(self.doc) + x, *column)
+            todo = self._next(at, pattern, length, best, h[once], x[once], *(c[once] for c in column))
         return np.maximum.accumulate(best, axis=1)
 
-    def _jumps(self, h, x, y, used, k):
+    def _same(self, number, code, word):
+        """(same, bearable): whether each word of the document is the item's, or a damaged form of it that no item has; whether it is
+        that, a word of the items that may be a damaged form of it, or a word no item has."""
+        same = number == word
+        close = np.flatnonzero(self.resembling[code] & ~same)
+        bearable = same | (number == 0)
+        if len(close):
+            key = code[close] * self.base + word[close]
+            close = close[self.near[np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)] == key]
+            same[close] = number[close] == 0
+            bearable[close] = True
+        return same, bearable
+
+    def _next(self, at, pattern, length, best, h, x, plus, minus, used, before, odd, off):
+        """The states behind the word at ``x``: those whose distance is still within BUDGET; what they reach is noted in ``best``."""
+        x = np.minimum(x, len(self.doc) - 1)
+        good = (self.doc[x] == self.doc[at[h]]) & (used < RUN + BUDGET)
+        h, x, plus, minus, used, before, odd, off = (c[good] for c in (h, x, plus, minus, used, before, odd, off))
+        number, code = self.numbers[x], self.codes[x]
+        # while all words are the same the distance is 0 and the column is known
+        row = np.minimum(used, RUN - 1)
+        same, bearable = self._same(number, code, pattern[h, row])
+        same &= used < length[h]
+        exact = np.flatnonzero(same & (odd == 0))
+        np.maximum.at(best, (h[exact], 0), used[exact] + 1)
+        ones = (2 << used[exact]) - 1
+        going = (h[exact], x[exact], FULL & ~ones, ones, used[exact] + 1, (1 << used[exact]) * (1 + (used[exact] > 0) * TWICE), odd[exact], off[exact])
+        rest = np.flatnonzero((odd > 0) | (~same & bearable))
+        if not len(rest):
+            return going
+        h, x, plus, minus, used, before, odd, off, number, code, bearable = (c[rest] for c in (h, x, plus, minus, used, before, odd, off, number, code, bearable))
+        eq = np.zeros(len(h), np.int64)
+        for shift in range(-BUDGET, BUDGET + 1):
+            # rows that the odd words so far can't have led to needn't be looked at
+            row = used + shift
+            some = np.flatnonzero((row >= 0) & (row < length[h]) & (abs(shift) <= odd + 1))
+            eq[some] |= self._same(number[some], code[some], pattern[h[some], row[some]])[0].astype(np.int64) << row[some]
+        plus, minus = advanced(eq, plus, minus, FULL)
+        off = off + (eq >> np.minimum(used, RUN) & 1 == 0)
+        used, odd = used + 1, odd + ((eq & ((before % TWICE << 1) | (1 << np.minimum(used, RUN)))) == 0)
+        least = np.full(len(h), RUN)
+        for shift in range(-BUDGET, BUDGET + 1):
+            row = used + shift
+            rows = (1 << np.clip(row, 0, RUN)) - 1
+            distance = used + np.bitwise_count(plus & rows) - np.bitwise_count(minus & rows).astype(np.int64)
+            inside = (row > 0) & (row <= RUN) & (abs(shift) <= odd)
+            least = np.where(inside, np.minimum(least, distance), least)
+            last = np.maximum(row - 1, 0)
+            # off the main diagonal a found word counts behind two others; on it no more than BUDGET words may differ
+            beside = (off <= BUDGET) if shift == 0 else ((before // TWICE >> np.maximum(last - 1, 0) & 1 > 0) & (last > 0))
+            found = np.flatnonzero(inside & beside & (eq >> last & 1 > 0) & (distance <= BUDGET))
+            np.maximum.at(best, (h[found], distance[found]), row[found])
+        good = ((eq > 0) | bearable) & (least <= BUDGET) & (odd <= BUDGET)
+        eq = eq + (eq & before % TWICE << 1) * TWICE
+        return tuple(np.concatenate([g, c[good]]) for g, c in zip(going, (h, x, plus, minus, used, eq, odd, off), strict=True))
+
+    def _jumps(self, pattern, length, h, x, plus, minus, used, before, odd, off):
+        """The states at the starts of later cues that go on with the item's next word, after up to BUDGET unknown words.
+
+        Next is the word behind the row of the least distance; ``x`` becomes the place of the cue's first word.
+        """
+        least, row = np.where(odd == 0, 0, RUN), np.where(odd == 0, used, 0)
+        for shift in sorted(range(-BUDGET, BUDGET + 1), key=abs):
+            k = used + shift
+            rows = (1 << np.clip(k, 0, RUN)) - 1
+            distance = used + np.bitwise_count(plus & rows) - np.bitwise_count(minus & rows).astype(np.int64)
+            better = (k >= 0) & (k <= RUN) & (abs(shift) <= odd) & (distance < least)
+            least, row = np.where(better, distance, least), np.where(better, k, row)
         out = []
         for lost in range(BUDGET + 1):
-            word = self.words[np.minimum(y + 1 + lost, len(self.words) - 1)]
-            some = np.flatnonzero((word > 0) & (used + lost <= BUDGET) & (k + lost < RUN))
-            nth, who = _spread(*self.later(x[some], word[some], lost))
+            to = row + lost
+            some = np.flatnonzero((to < length[h]) & (np.maximum(least, odd) + lost <= BUDGET))
+            nth, who = _spread(*self.later(x[some], pattern[h[some], to[some]], lost))
             who = some[who]
-            out.append((h[who], self.starts[nth] % len(self.doc), y[who] + 1 + lost, used[who] + lost, k[who] + 1 + lost))
+            out.append((h[who], self.starts[nth] % len(self.doc) - lost, plus[who], minus[who], used[who], before[who], odd[who], off[who]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def _judged(self, at, place, best, h, x, y, used, k):
-        """Of the states those whose last word may stand for the item's; the longest that end in a found word are noted."""
-        good = (self.doc[np.minimum(x, len(self.doc) - 1)] == self.doc[at[h]]) & (self.item[np.minimum(y, len(self.item) - 1)] == self.item[place[h]])
-        h, x, y, used, k = (c[good] for c in (h, x, y, used, k))
-        word, number = self.words[y], self.numbers[x]
-        same = number == word
-        key = self.codes[x] * self.base + word
-        damaged = ~same & (self.near[np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)] == key) if len(self.near) else np.zeros(len(h), bool)
-        unknown = number == 0
-        used = used + ~(same | (damaged & unknown))
-        good = (same | damaged | unknown) & (used <= BUDGET)
-        found = good & (same | damaged)
-        np.maximum.at(best, (h[found], used[found]), k[found])
-        good &= k < RUN
-        return tuple(c[good] for c in (h, x, y, used, k))
-
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, i) of each n in the range from low[i] to high[i]."""
@@ -234,6 +292,14 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), np.repeat(np.arange(len(low)), many)
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Places of the distinct rows."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return order[new]
+
+
 def leaks_of(items: Items, numbers: np.ndarray, words: list[str], doc: np.ndarray, cue: np.ndarray, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(document, item) of each leak among the words of a batch of documents, in order."""
     code: dict[str, int] = {}
@@ -284,7 +350,7 @@ def _put(held: tuple[list, list[str], list[int], list[int]], words: list[str], d
     docs.extend([doc] * len(words))
 
 
-def _search(block: list[tuple[int, str]]):
+def _search(block: list[tuple[int, str, bool]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(block)
         held: tuple[list, list[str], list[int], list[int]] = ([], [], [], [])
@@ -316,33 +382,41 @@ def _search(block: list[tuple[int, str]]):
     return run
 
 
+def _instructed(items: DataFrame) -> DataFrame:
+    """``items`` with ``_instructed``: whether the first line of ``_text`` is one that more than two of all items open with."""
+    text = F.regexp_replace(F.regexp_replace("_text", "\r\n?", "\n"), "^[\\s\ufeff]+|\\s+$", "")
+    head = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(F.substring_index(text, "\n", 1), "\\s+$", ""))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("_head")) > 2
+    return items.withColumn("_head", head).withColumn("_instructed", F.col("_head").isNotNull() & shared).drop("_head")
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(``doc_id``, ``item_id``) of each document that carries at least RUN successive words of the item.
 
     Words are compared under the subtitle layout, in lower case, without accents and with characters that recognition
     confuses folded. Whole cues may lie between two successive words (a repetition, a sound, an advert); words of
-    the item may be damaged. A first line that more than two items share is an instruction and is no passage.
+    the item may be damaged, divided, run together or lost. A first line that more than two items share is an instruction and is no passage.
 
-    Method: pigeonhole. Of RUN words with BUDGET damaged, one of BUDGET + 1 pieces of PIECE words stands exactly:
-    every piece of the items at any offset is looked up in the documents' words, pieces that cue ends divide as well. From
-    each the longest run is walked to both sides, over any cues of the document that lie between; words that differ are
-    compared with the item word they stand beside by Myers' bit-parallel distance (looked up among all item words within the
-    bound, behind a pigeonhole index of word parts).
+    Method: pigeonhole edit matching. Of RUN words with BUDGET edits, one of BUDGET + 1 pieces of PIECE words stands exactly:
+    every piece of the items at any offset is looked up in the documents' words, pieces that cue ends divide as well. Each hit
+    is verified by Myers' bit-parallel distance, words as symbols, between the item's words around the piece and those of the
+    document, over any cues that lie between (``Texts.reached``): RUN words within BUDGET edits are a leak. Two words are the same symbol
+    also if Myers' distance of their characters bears it (looked up among all item words behind a pigeonhole index of word parts).
 
     Scale: the items are the query set. Each block of BLOCK items goes with the task; documents are read once per block,
     where they lie, and nothing is shuffled. Null or empty texts and items shorter than RUN words have no leaks; a null id
     is left out. Documents that appear twice give their rows twice only if their ids differ.
     """
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("_doc"), F.col(f"`{text}`").alias("_text")).where("_doc is not null and _text is not null and _text <> ''")
-    queries = items.select(F.col(f"`{item_id}`").cast("bigint").alias("_item"), F.col(f"`{item_text}`").alias("_text")).where("_item is not null and _text is not null").orderBy("_item")
+    queries = items.select(F.col(f"`{item_id}`").cast("bigint").alias("_item"), F.col(f"`{item_text}`").alias("_text")).where("_item is not null and _text is not null")
     out, block = None, []
 
     def search(block):
         found = rows.mapInArrow(_search(block), "_doc bigint, _item bigint")
         return found if out is None else out.unionByName(found)
 
-    for r in queries.toLocalIterator():
-        block.append((r["_item"], r["_text"]))
+    for r in _instructed(queries).orderBy("_item").toLocalIterator():
+        block.append((r["_item"], r["_text"], r["_instructed"]))
         if len(block) == BLOCK:
             out, block = search(block), []
     if block or out is None:

@@ -164,6 +164,30 @@ def test_every_exact_piece_leads_to_verification_whatever_cues_lie_between(spark
     assert leaks(spark, {1: text(parts), 2: text([p for p in short if p])}, {1: " ".join(own[:12])}) == {(1, 1)}
 
 
+def test_the_column_of_distances_equals_the_table():
+    rng = random.Random(11)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(1, 13))] for _ in range(2))
+        plus, minus, full = np.array([(1 << len(a)) - 1]), np.array([0]), (1 << len(a)) - 1
+        for x in b:
+            plus, minus = leakage.advanced(np.array([sum(1 << i for i, y in enumerate(a) if x == y)]), plus, minus, full)
+        for k in range(len(a) + 1):
+            rows = (1 << k) - 1
+            assert len(b) + int(plus[0] & rows).bit_count() - int(minus[0] & rows).bit_count() == distance(a[:k], b)
+
+
+def test_divided_and_joined_words_are_borne_and_left_out_words_are_not(spark):
+    own = random.Random(21).sample(WORDS, 14)
+    divided = [*own[:5], own[5][:3] + "q", "z" + own[5][3:], *own[6:12]]
+    joined = [*own[:5], own[5] + own[6], *own[7:12]]
+    shifted_early = [own[0], own[1] + "x" + own[2], *own[3:12]]
+    left_out = [*own[:6], *own[8:12]]
+    added = [*own[:4], *own[9:11], *own[4:10]]
+    other_words = [*own[:7], *FILLER[:2], *own[9:11]]  # two of eleven lost
+    texts = {k: cues([" ".join(FILLER[:5]), " ".join(w), " ".join(FILLER[5:])]) for k, w in enumerate((divided, joined, shifted_early, left_out, added, other_words), 1)}
+    assert leaks(spark, texts, {1: " ".join(own)}) == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_misread_encodings_are_repaired():
     text = "première scène à côté"
     once = text.encode("utf-8").decode("latin-1")
