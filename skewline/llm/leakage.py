@@ -21,7 +21,9 @@ TWICE = 1 << RUN + 1
 #: Empty places between two items, and between two documents.
 AFTER = RUN + PIECE
 #: Exact pieces that are walked from at once.
-SEEDS = 30_000
+SEEDS = 120_000
+#: Words of documents that are searched at once.
+WORDS_HELD = 400_000
 #: Place without a word among the items' words.
 EMPTY = -5
 #: Items indexed at once; more are taken in blocks.
@@ -224,11 +226,13 @@ class Texts:
     def _next(self, at, pattern, length, best, h, x, plus, minus, used, before, odd, off):
         """The states behind the word at ``x``: those whose distance is still within BUDGET; what they reach is noted in ``best``."""
         x = np.minimum(x, len(self.doc) - 1)
-        good = (self.doc[x] == self.doc[at[h]]) & (used < RUN + BUDGET)
+        good = np.flatnonzero((self.doc[x] == self.doc[at[h]]) & (used < RUN + BUDGET))
+        # most texts end here: known words that nothing resembles
+        number, code, row = self.numbers[x[good]], self.codes[x[good]], np.minimum(used[good], RUN - 1)
+        going = np.flatnonzero((number == 0) | (number == pattern[h[good], row]) | (odd[good] > 0) | self.resembling[code])
+        good, number, code, row = good[going], number[going], code[going], row[going]
         h, x, plus, minus, used, before, odd, off = (c[good] for c in (h, x, plus, minus, used, before, odd, off))
-        number, code = self.numbers[x], self.codes[x]
         # while all words are the same the distance is 0 and the column is known
-        row = np.minimum(used, RUN - 1)
         same, bearable = self._same(number, code, pattern[h, row])
         same &= used < length[h]
         exact = np.flatnonzero(same & (odd == 0))
@@ -240,8 +244,9 @@ class Texts:
             return going
         h, x, plus, minus, used, before, odd, off, number, code, bearable = (c[rest] for c in (h, x, plus, minus, used, before, odd, off, number, code, bearable))
         eq = np.zeros(len(h), np.int64)
-        for shift in range(-BUDGET, BUDGET + 1):
-            # rows that the odd words so far can't have led to needn't be looked at
+        # rows that the odd words so far can't have led to needn't be looked at
+        shifts = range(-min(BUDGET, int(odd.max()) + 1), min(BUDGET, int(odd.max()) + 1) + 1)
+        for shift in shifts:
             row = used + shift
             some = np.flatnonzero((row >= 0) & (row < length[h]) & (abs(shift) <= odd + 1))
             eq[some] |= self._same(number[some], code[some], pattern[h[some], row[some]])[0].astype(np.int64) << row[some]
@@ -249,7 +254,7 @@ class Texts:
         off = off + (eq >> np.minimum(used, RUN) & 1 == 0)
         used, odd = used + 1, odd + ((eq & ((before % TWICE << 1) | (1 << np.minimum(used, RUN)))) == 0)
         least = np.full(len(h), RUN)
-        for shift in range(-BUDGET, BUDGET + 1):
+        for shift in shifts:
             row = used + shift
             rows = (1 << np.clip(row, 0, RUN)) - 1
             distance = used + np.bitwise_count(plus & rows) - np.bitwise_count(minus & rows).astype(np.int64)
@@ -372,7 +377,7 @@ def _search(block: list[tuple[int, str, bool]]):
                     _put(held, WORD.findall(own), len(ids))
                 _put(held, apart, -1)
                 ids.append(doc_id)
-                if len(words) > 200_000:
+                if len(words) > WORDS_HELD:
                     if items.ids:
                         yield found()
                     held = ([], [], [], [])
