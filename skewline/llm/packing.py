@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 
 from skewline.session import written
 
-#: Place of the public tokenizer's ranks; a parameter, the file isn't part of the library.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank file (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces packed by one task.
 PER_SHARD = 20_000
 #: A token's linear cost, and the length at which a document's quadratic cost equals its linear one.
 QUADRATIC_AT = 2048.0
+#: Shares of the tokens that are tried to be placed by cost alone, and how many more containers than by best fit are borne for it.
+SHARES, SLACK = (1.0, 0.8, 0.6, 0.4, 0.2), 0.0025
 
 
 def _encoding(ranks_path: str):
@@ -31,8 +32,11 @@ def _encoding(ranks_path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, doc_id: str, text: str, ranks_path: str = RANKS) -> DataFrame:
-    """(``doc_id``, ``n_tokens``) of every document with an id; a null text has none. Whole texts, counted where they lie."""
+def token_counts(documents: DataFrame, doc_id: str, text: str, ranks_path: str) -> DataFrame:
+    """(``doc_id``, ``n_tokens``) of every document with an id; a null text has none. Whole texts, counted where they lie.
+
+    ranks_path: rank file of a public byte-level tokenizer, readable by all executors; it isn't part of the library.
+    """
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("_doc"), F.col(f"`{text}`").alias("_text")).where("_doc is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,39 +54,91 @@ def attention_cost(tokens: np.ndarray) -> np.ndarray:
     return t + t * t / QUADRATIC_AT
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number (from 0) of each piece: descending pieces, each to the cheapest container with room for it.
+def assigned(sizes: np.ndarray, capacity: int, share: float = 1.0) -> np.ndarray:
+    """Container number (from 0) of each piece, in descending order: the first ``share`` of all tokens go to the cheapest container with
+    room, the rest to the one with the least room that does.
 
-    As many containers as the pieces fill are open from the start; a piece that fits none opens another. Containers of the
-    same remaining room and cost are taken in order of their number, so the result depends on the sizes alone.
+    As many containers as the tokens fill are open from the start; a piece that fits none opens another. Of equal ones the lowest
+    number is taken, so the result depends on the sizes alone. Containers too full for the current piece wait until
+    pieces are small enough, so each is looked at once per piece it gets.
     """
     order = np.argsort(-sizes, kind="stable")
-    room = np.full(max(len(sizes), 1), capacity, np.int64)
-    cost = np.zeros(len(room))
     used = max(1, -(-int(sizes.sum()) // capacity))
-    cost[used:] = np.inf
-    price = attention_cost(sizes)
+    room, cost = [capacity] * used, [0.0] * used
+    price = attention_cost(sizes).tolist()
     out = np.zeros(len(sizes), np.int64)
-    first_open = 0
-    for i in order:
-        n = sizes[i]
-        window = cost[first_open:used]
-        fits = np.where(room[first_open:used] >= n, window, np.inf)
-        k = int(np.argmin(fits)) if len(fits) else -1
-        if k < 0 or fits[k] == np.inf:
+    by_cost = [(0.0, k) for k in range(used)]
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    some = np.zeros(capacity + 1, bool)
+    left, rest, smallest = int(sizes.sum()), (1 - share) * float(sizes.sum()), capacity
+
+    def wait(k: int) -> None:
+        heapq.heappush(by_room[room[k]], k)
+        some[room[k]] = True
+
+    def tightest(n: int) -> int:
+        r = n + int(np.argmax(some[n:]))
+        if not some[r]:
+            return -1
+        k = heapq.heappop(by_room[r])
+        some[r] = bool(by_room[r])
+        return k
+
+    def cheapest(n: int) -> int:
+        while by_cost:
+            c, k = heapq.heappop(by_cost)
+            if room[k] >= n:
+                return k
+            wait(k)
+        return -1
+
+    for i in order.tolist():
+        n = int(sizes[i])
+        if left > rest:
+            # containers whose room is enough for a piece as small as this one
+            for r in np.flatnonzero(some[n : smallest + 1]) + n:
+                for k in by_room[r]:
+                    heapq.heappush(by_cost, (cost[k], k))
+                by_room[r], some[r] = [], False
+            smallest = n
+            k = cheapest(n)
+        else:
+            for _, k in by_cost:
+                wait(k)
+            by_cost = []
+            k = tightest(n)
+        if k < 0:
             k = used
             used += 1
-            cost[k] = 0.0
-        else:
-            k += first_open
+            room.append(capacity)
+            cost.append(0.0)
         room[k] -= n
         cost[k] += price[i]
         out[i] = k
-        while first_open < used and room[first_open] == 0:
-            first_open += 1
+        if left > rest and room[k] >= n:
+            heapq.heappush(by_cost, (cost[k], k))
+        else:
+            wait(k)
+        left -= n
     return out
 
 
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each piece: by cost as far as that takes at most SLACK more containers than best fit does.
+
+    Levelled by cost alone, containers keep a little room each that no piece fits. So the cheapest container with room is taken for the largest
+    pieces, of the greatest of SHARES that keeps to the bound; smaller ones then fill up what is left.
+    """
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    best = assigned(sizes, capacity, 0.0)
+    for share in SHARES:
+        out = assigned(sizes, capacity, share)
+        if len(np.unique(out)) <= len(np.unique(best)) * (1 + SLACK):
+            return out
+    return best
+
+
 def packed(counts: DataFrame, budgets: DataFrame, doc_id: str = "doc_id", per_shard: int = PER_SHARD) -> DataFrame:
     """Assignment of every document to containers of each budget's capacity.
 
@@ -91,7 +147,7 @@ def packed(counts: DataFrame, budgets: DataFrame, doc_id: str = "doc_id", per_sh
     A document larger than the capacity is split into pieces of the capacity and a rest; no other is. Full pieces are
     containers of their own. Documents without tokens (null or empty texts) get no container.
 
-    Method: cost-balanced packing, see ``pack``. Scale: only ids and sizes are shuffled, by budget and a hash of the
+    Method: cost-balanced packing, see ``pack`` and ``assigned``. Scale: only ids and sizes are shuffled, by budget and a hash of the
     document; each task packs about ``per_shard`` documents, so a container mixes documents of one shard and each
     shard leaves at most a few part-filled containers. The result is the same whenever it is run.
     """

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skewline.llm import digests, leakage, packing, truncation
 from skewline.sources.tables import table
 
+#: Rank file of the tokenizer where the session's ``spark.skewline.tokenizer`` names none.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 MISSING = -99.99
 
@@ -68,7 +70,7 @@ def p2_rho_certified(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in containers of each stated capacity."""
-    counts = packing.token_counts(table(spark, folder, "documents"), "doc_id", "text")
+    counts = packing.token_counts(table(spark, folder, "documents"), "doc_id", "text", spark.conf.get("spark.skewline.tokenizer", RANKS))
     return packing.packed(counts, table(spark, folder, "pack_budgets"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skewline.llm import leakage, packing, subtitles, truncation
+from skewline.llm import leakage, packing, queries, subtitles, truncation
 
 # --- packing -----------------------------------------------------------------------------------------------------
 
@@ -50,15 +50,46 @@ def test_pack_takes_the_cheapest_container_with_room():
     assert len(one) == 0
 
 
+def plain_assigned(sizes, capacity, share):
+    """The same rule, looking at all containers for every piece."""
+    used = max(1, -(-int(sizes.sum()) // capacity))
+    room, cost, out, left = [capacity] * used, [0.0] * used, [0] * len(sizes), sizes.sum()
+    for i in np.argsort(-sizes, kind="stable"):
+        fits = [k for k in range(len(room)) if room[k] >= sizes[i]]
+        if not fits:
+            room.append(capacity)
+            cost.append(0.0)
+            fits = [len(room) - 1]
+        k = min(fits, key=lambda k: (cost[k], k)) if left > (1 - share) * float(sizes.sum()) else min(fits, key=lambda k: (room[k], k))
+        room[k] -= sizes[i]
+        cost[k] += packing.attention_cost(sizes[i : i + 1])[0]
+        out[i], left = k, left - sizes[i]
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 1.0])
+def test_assignment_equals_the_plain_rule(share):
+    rng = np.random.default_rng(5)
+    for capacity in (20, 64, 300):
+        sizes = np.minimum(rng.lognormal(3, 1, 200).astype(int) + 1, capacity - 1)
+        assert packing.assigned(sizes, capacity, share).tolist() == plain_assigned(sizes, capacity, share)
+
+
+def test_packing_wastes_little_more_than_best_fit():
+    sizes = np.minimum(np.random.default_rng(2).lognormal(6.2, 0.8, 4_000).astype(int) + 1, 2047)
+    by_cost, best, out = (len(set(k)) for k in (packing.assigned(sizes, 2048), packing.assigned(sizes, 2048, 0.0), packing.pack(sizes, 2048)))
+    assert out <= best * (1 + packing.SLACK) < by_cost
+
+
 def test_token_counts_are_of_whole_texts(spark):
     import os
 
-    if not os.path.exists(packing.RANKS):
+    if not os.path.exists(queries.RANKS):
         pytest.skip("no tokenizer file")
     long = "word " * 50_000
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, long), (None, "x")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df, "doc_id", "text").collect()}
-    encoding = packing._encoding(packing.RANKS)
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df, "doc_id", "text", queries.RANKS).collect()}
+    encoding = packing._encoding(queries.RANKS)
     assert got == {1: len(encoding.encode_ordinary("hello world")), 2: 0, 3: 0, 4: len(encoding.encode_ordinary(long))}
 
 
