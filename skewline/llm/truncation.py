@@ -22,8 +22,8 @@ PRIOR = 0.02
 UNSEEN = 0.05
 #: Share of a token's occurrences that may stand at the end of a cue by its layout alone.
 STRAY = 0.001
-#: A length is a candidate limit of a source from so many texts on, and so many times what is natural there.
-LEAST, TIMES = 5, 5.0
+#: A length is a candidate limit of a source if so many texts of it would be there by chance with this probability at most (its logarithm).
+CHANCE = -11.5
 #: Lengths on either side whose texts show what is natural at a length, beside the fitted distribution.
 NEAR = 25
 
@@ -31,16 +31,6 @@ NEAR = 25
 TOKEN = re.compile(r"[^\W\d_]+(?:[?\ufffd]+[^\W\d_]+)*\ufffd*|\d+|[^\w\s]")
 _LETTER = re.compile(r"[^\W\d_]")
 
-#: Frequent short words by which a text's language is told; counts of tokens are kept apart by it.
-FREQUENT = {
-    "en": "the my his her your our a of and in was he she they we you this that",
-    "de": "die der das und ich er sie ihre meine eine nicht den wir unsere jene",
-    "fr": "le la les et il elle nous mon ma leur notre votre une que des ton cette",
-    "es": "el la los y yo mi su un una que nuestra nosotros ella aquella con",
-    "pl": "i w na się moją swoją naszą oraz ona jest nie ja to mój jakąś",
-    "ru": "и в на не я он она мой свой наш этот мы а что как",
-}
-_LANGUAGE = {w: tuple(k for k, v in FREQUENT.items() if w in v.split()) for v in FREQUENT.values() for w in v.split()}
 _WHOLE_TIME = re.compile(rf"^{TIME}[ \t]*-->[ \t]*{TIME}")
 #: The start of a time line, broken off anywhere.
 _PART_TIME = re.compile(r"^\d{1,2}(:(\d{1,2}(:(\d{1,2}([.,](\d{0,3}([ \t]*(-{1,2}|-->[ \t]*[\d:.,]*)?)?)?)?)?)?)?)?$")
@@ -106,17 +96,8 @@ def _last_token(line: str) -> str:
     return ("#" if found[-1].isdigit() else found[-1].lower()) if found else ""
 
 
-def language(tokens: list[str]) -> str:
-    """The language most of the frequent short words among ``tokens`` belong to, '' if there are none."""
-    votes: Counter = Counter()
-    for w in tokens:
-        for k in _LANGUAGE.get(w, ()):
-            votes[k] += 1
-    return max(sorted(votes), key=votes.__getitem__) if votes else ""
-
-
 def _lengths(text: str, core: str) -> list[str]:
-    """Lengths at which the text may have been cut, in characters ('c') and bytes ('b'): as stored, and without additions."""
+    """Lengths at which the text may have been cut, in characters ('c') and bytes ('b'): as stored (the first two), and without additions."""
     plain = lines_of(text)
     forms = {text, text.removesuffix("\n")}
     if len(core) < len(plain.rstrip()):
@@ -126,33 +107,27 @@ def _lengths(text: str, core: str) -> list[str]:
             rest = text[len(head) :]
             space = rest[: len(rest) - len(rest.lstrip())]
             forms |= {head + space[:k] for k in range(len(space) + 1)}
-    return sorted({f"c{len(f)}" for f in forms} | {f"b{len(f.encode('utf-8', 'surrogatepass'))}" for f in forms})
+    both = [[f"c{len(f)}", f"b{len(f.encode('utf-8', 'surrogatepass'))}"] for f in (text, *sorted(forms - {text}))]
+    return both[0] + sorted({x for lengths in both[1:] for x in lengths} - {*both[0]})
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text its ending and lengths; per task the counts of tokens, and of those at the end of a cue."""
-    # counts of words by language, of their ends by language and word
-    words: dict[str, Counter] = {}
-    ends, open_ends, chars, cues = Counter(), Counter(), Counter(), Counter()
+    words, ends, open_ends = Counter(), Counter(), Counter()
+    chars = cues = 0
 
     def counts() -> pa.RecordBatch:
-        total = {(tongue, w): n for tongue, own in words.items() for w, n in own.items()}
-        forms = list(total)
-        open_cues: Counter = Counter()
-        for (tongue, _), n in open_ends.items():
-            open_cues[tongue] += n
-        tongues = list(chars)
-        n = len(forms) + len(tongues)
+        forms = list(words)
+        n = len(forms) + 1
         rows = {
             "doc": [None] * n,
             "source": [None] * n,
-            "class": ["token"] * len(forms) + ["all"] * len(tongues),
-            "language": [k for k, _ in forms] + tongues,
-            "token": [w for _, w in forms] + [None] * len(tongues),
+            "class": ["token"] * len(forms) + ["all"],
+            "token": [*forms, None],
             "lengths": [None] * n,
-            "total": [float(total[w]) for w in forms] + [float(chars[k]) for k in tongues],
-            "ends": [float(ends[w]) for w in forms] + [float(cues[k]) for k in tongues],
-            "open_ends": [float(open_ends[w]) for w in forms] + [float(open_cues[k]) for k in tongues],
+            "total": [*map(float, words.values()), float(chars)],
+            "ends": [*(float(ends[w]) for w in forms), float(cues)],
+            "open_ends": [*(float(open_ends[w]) for w in forms), float(open_ends.total())],
         }
         return pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
@@ -162,35 +137,34 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, token, core = ending(text, source)
             cases = CUE_BREAK.split(core)
             parts = [TOKEN.findall(cue.lower()) for cue in cases]
-            tongue = language([w for p in parts for w in p])
-            for n, v in zip(_SCHEMA.names, (doc, source, kind, tongue, token, _lengths(text, core), None, None, None), strict=True):
+            for n, v in zip(_SCHEMA.names, (doc, source, kind, token, _lengths(text, core), None, None, None), strict=True):
                 out[n].append(v)
-            chars[tongue] += len(text)
-            own = words.setdefault(tongue, Counter())
-            own.update([w for p in parts[:-1] for w in p])
-            own.update(parts[-1][:-1])
+            chars += len(text)
+            words.update([w for p in parts[:-1] for w in p])
+            words.update(parts[-1][:-1])
             for found, cue, following in zip(parts, cases, cases[1:], strict=False):
                 # a sentence that goes on in the next cue doesn't end here
                 letter = _LETTER.search(following)
                 if found and letter and not letter.group().islower() and not cue.isupper():
-                    cues[tongue] += 1
+                    cues += 1
                     i = len(found) - 1
                     while i and not found[i][0].isalnum() and found[i] not in ",:;":
                         i -= 1
-                    ends[tongue, found[i]] += 1
+                    ends[found[i]] += 1
                     if i == len(found) - 1:
-                        open_ends[tongue, found[i]] += 1
+                        open_ends[found[i]] += 1
         yield pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
-        if sum(map(len, words.values())) > 300_000:
+        if len(words) > 300_000:
             yield counts()
-            for c in (words, ends, open_ends, chars, cues):
+            for c in (words, ends, open_ends):
                 c.clear()
+            chars = cues = 0
     if chars:
         yield counts()
 
 
-_SCHEMA = pa.schema([("doc", pa.int64()), ("source", pa.string()), ("class", pa.string()), ("language", pa.string()), ("token", pa.string()), ("lengths", pa.list_(pa.string())), ("total", pa.float64()), ("ends", pa.float64()), ("open_ends", pa.float64())])
-_SPARK_SCHEMA = "doc bigint, source string, class string, language string, token string, lengths array<string>, total double, ends double, open_ends double"
+_SCHEMA = pa.schema([("doc", pa.int64()), ("source", pa.string()), ("class", pa.string()), ("token", pa.string()), ("lengths", pa.list_(pa.string())), ("total", pa.float64()), ("ends", pa.float64()), ("open_ends", pa.float64())])
+_SPARK_SCHEMA = "doc bigint, source string, class string, token string, lengths array<string>, total double, ends double, open_ends double"
 
 
 def _upper_tail(z: float) -> float:
@@ -232,110 +206,107 @@ def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for unit in ("c", "b"):
         found = {float(x["length"]): (float(x["texts"]), float(x["near"])) for x in json.loads(f[f"top_{unit}"])}
-        # texts at a candidate are taken out of the moments of the rest
         inside = [(c, k) for c, (k, _) in found.items()]
-        n = f["n"] - sum(k for _, k in inside)
-        s1 = f[f"s1_{unit}"] - sum(k * math.log(c) for c, k in inside)
-        s2 = f[f"s2_{unit}"] - sum(k * math.log(c) ** 2 for c, k in inside)
+        n = float(f[f"n_{unit}"])
         if not inside or n <= 0:
             continue
-        _, _, post = fit_limits(inside, n, s1, s2)
-        for c, k in inside:
-            p = min(post[c], 1 - found[c][1] / k)
-            if p >= 1 - 1 / TIMES:
-                out.append((f["source"], f"{unit}{int(c)}", p, k))
+        _, _, post = fit_limits(inside, n, float(f[f"s1_{unit}"]), float(f[f"s2_{unit}"]))
+        # neither the fitted lengths nor those around may account for the texts
+        out += [(f["source"], f"{unit}{int(c)}", max(min(post[c], 1 - found[c][1] / k), 0.0), k) for c, k in inside]
     return pd.DataFrame(out, columns=["source", "length", "posterior", "texts"])
 
 
 def source_limits(features: DataFrame) -> DataFrame:
     """(source, length, posterior, texts): lengths at which a source's texts were cut ('c1000': characters, 'b2048': bytes).
 
-    Texts are counted per source and length (combined on the map side); the lengths of a source that stand out from the
-    lengths within ``NEAR`` by ``LEAST`` texts and five standard deviations are its candidates, however many others are
-    commoner; all others enter the fit through their moments.
+    Texts are counted per source and length, in every form a text may have had when it was cut (combined on the map side). Lengths
+    with more texts than chance puts there, given the lengths within ``NEAR`` (Chernoff's bound of a Poisson tail, one text more there for
+    caution), are the source's candidates, however few or many. All other texts enter the fit once each, by the moments of their stored length.
     """
-    each = features.select(F.coalesce("source", F.lit("")).alias("source"), "doc", F.explode("lengths").alias("length"))
+    features = features.withColumn("source", F.coalesce("source", F.lit("")))
+    each = features.select("source", F.explode("lengths").alias("length"))
     counts = each.groupBy("source", "length").agg(F.count(F.lit(1)).alias("texts"))
     counts = counts.withColumn("unit", F.substring("length", 1, 1)).withColumn("value", F.expr("cast(substring(length, 2) as double)")).where("value > 0")
     around = Window.partitionBy("source", "unit").orderBy(F.col("value").cast("bigint")).rangeBetween(-NEAR, NEAR)
     counts = counts.withColumn("near", (F.sum("texts").over(around) - F.col("texts")) / (2.0 * NEAR))
-    top = counts.where(F.col("texts") >= LEAST + F.col("near") + 5 * F.sqrt("near"))
-    moments = counts.groupBy("source").agg(
-        *[F.sum(F.when(F.col("unit") == u, F.col("texts") * F.pow(F.log("value"), p))).alias(f"s{p}_{u}") for u in ("c", "b") for p in (1, 2)],
-        F.sum(F.when(F.col("unit") == "c", F.col("texts"))).alias("n"),
-    )
+    k, rate = F.col("texts"), F.col("near") + 1 / (2.0 * NEAR)
+    top = counts.where((k > rate) & (k - rate + k * F.log(rate / k) <= CHANCE))
     lists = top.groupBy("source").agg(
-        *[F.to_json(F.collect_list(F.when(F.col("unit") == u, F.struct(F.col("value").alias("length"), "texts", "near")))).alias(f"top_{u}") for u in ("c", "b")]
+        *[F.to_json(F.collect_list(F.when(F.col("unit") == u, F.struct(F.col("value").alias("length"), "texts", "near")))).alias(f"top_{u}") for u in ("c", "b")],
+        *[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"_at_{u}") for u in ("c", "b")],
     )
-    return moments.join(lists, "source").groupBy("source").applyInPandas(_fit_source, "source string, length string, posterior double, texts double")
+    moments = []
+    for i, u in enumerate(("c", "b")):
+        value = F.expr(f"cast(substring(get(lengths, {i}), 2) as double)")
+        rest = (value > 0) & ~F.arrays_overlap("lengths", f"_at_{u}")
+        moments += [F.count_if(rest).alias(f"n_{u}"), *[F.coalesce(F.sum(F.when(rest, F.pow(F.log(value), p))), F.lit(0.0)).alias(f"s{p}_{u}") for p in (1, 2)]]
+    texts = features.select("source", "lengths").join(lists.drop("top_c", "top_b"), "source").groupBy("source").agg(*moments)
+    return texts.join(lists, "source").drop("_at_c", "_at_b").groupBy("source").applyInPandas(_fit_source, "source string, length string, posterior double, texts double")
 
 
 def _evidence(features: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(language, token, ratio): logarithm of how much likelier the token ends a cut text than a whole one.
+    """(token, ratio): logarithm of how much likelier the token ends a cut text than a whole one.
 
     A cut after any character ends in the token if it falls behind the token inside a cue, or inside a longer word that
     starts with it. A whole text ends in it as often as cues do without a stop.
     """
-    sums = tokens.where("class = 'all'").groupBy("language").agg(F.sum("total").alias("chars"), F.sum("ends").alias("cues"), F.sum("open_ends").alias("open_cues"))
+    sums = tokens.where("class = 'all'").agg(F.sum("total").alias("chars"), F.sum("ends").alias("cues"), F.sum("open_ends").alias("open_cues"))
     number = F.when(F.col("token").rlike("^[0-9]+$"), F.lit("#")).otherwise(F.col("token"))
-    words = tokens.where("class = 'token'").withColumn("token", number).groupBy("language", "token").agg(*[F.sum(c).alias(c) for c in ("total", "ends", "open_ends")])
-    asked = features.where("class in ('word', 'open') and token <> ''").select("language", "token").distinct()
+    words = tokens.where("class = 'token'").withColumn("token", number).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("total", "ends", "open_ends")])
+    asked = features.select("token").distinct()
     longer = (
         words.where("total >= 3 and length(token) between 2 and 40")
-        .select("language", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("_k"), "token", "total")
-        .groupBy("language", F.expr("substring(token, 1, _k)").alias("token"))
+        .select(F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("_k"), "token", "total")
+        .groupBy(F.expr("substring(token, 1, _k)").alias("token"))
         .agg(F.sum("total").alias("inside"))
     )
-    known = asked.join(words, ["language", "token"], "left").join(longer, ["language", "token"], "left").na.fill(0.0)
-    known = known.join(sums, "language")
+    known = asked.join(words, "token", "left").join(longer, "token", "left").na.fill(0.0)
+    known = known.withColumns({c: sums.select(c).scalar() for c in ("chars", "cues", "open_cues")})
     cut = ((F.col("total") - F.col("ends")) * 2 + F.col("inside") + 1e-3) / F.col("chars")
     usual = F.col("ends") * (F.col("open_cues") / F.greatest(F.col("cues"), F.lit(1.0)))
     seen = F.greatest(F.greatest(F.col("open_ends"), usual) - F.col("total") * STRAY, F.lit(0.0))
     whole = (seen + UNSEEN) / F.greatest(F.col("cues"), F.lit(1.0))
-    return known.select("language", "token", F.log(cut / whole).alias("ratio"))
+    return known.select("token", F.log(cut / whole).alias("ratio"))
 
 
 def truncated_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(``doc_id``, ``source``, ``score``, ``cut``) of every text that isn't null or empty.
+    """(``doc_id``, ``source``, ``score``, ``cut``, ...) of every text that isn't null or empty.
 
-    ``score`` is the logarithm of the odds that the text was cut: of its source's posterior where its length is one of the
-    source's limits, else of the prior of a cut in transfer; plus the evidence of its ending. ``cut``: above zero, and
-    the text doesn't end whole.
+    A text that breaks off inside a time line, cue number, tag or brackets was cut, one that ends whole wasn't: by what a cut
+    is, both whatever the length (``score`` is null). Of all others ``score`` is the logarithm of the odds that the text was cut: of its
+    source's posterior where its length is one of the source's limits, else of the prior of a cut in transfer (where dots end the
+    text: none), plus the evidence of its last token; it is ``cut`` above zero.
 
     Method: a log-normal length distribution, right-censored at candidate limits, is fitted to each source by maximum
-    likelihood; a candidate's posterior follows from the texts found at the very length and those expected there. Endings
-    inside a time line, cue number or tag speak for a cut, a stop against it; between them decide the counts of the
-    last token inside and at the end of cues over all texts, and of longer words that start with it.
+    likelihood; a candidate's posterior follows from the texts found at the very length and those expected there. The evidence comes from the
+    counts of the last token inside and at the end of cues over all texts, and of longer words that start with it.
 
     Scale: texts are read once, where they lie; what leaves the tasks is one short row per text and counts of tokens,
-    written to the shared folder. Everything after works on those. A null source is a source of its own. Empty input
-    gives no rows; repeated ids are judged each.
+    written to the shared folder. Everything after works on those; only texts with a last token are joined to the evidence. A null source
+    is a source of its own. Empty input gives no rows; repeated ids are judged each.
     """
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("text"))
     read = written(rows.where("text is not null and text <> ''").mapInArrow(_read, _SPARK_SCHEMA), "endings")
-    features = read.where("class not in ('token', 'all')").select("doc", "source", "class", "language", "token", "lengths")
-    tokens = read.where("class in ('token', 'all')").select("class", "language", "token", "total", "ends", "open_ends")
+    features = read.where("class not in ('token', 'all')").select("doc", "source", "class", "token", "lengths")
+    tokens = read.where("class in ('token', 'all')").select("class", "token", "total", "ends", "open_ends")
     limits = source_limits(features).groupBy("source").agg(F.collect_list(F.struct("length", "posterior")).alias("_limits"))
-    judged = features.withColumn("_name", F.coalesce("source", F.lit(""))).join(
-        limits.withColumnRenamed("source", "_name"), "_name", "left"
-    ).join(_evidence(features, tokens), ["language", "token"], "left")
+    asked = features.where("class in ('word', 'open')")
+    some = asked.withColumn("_name", F.coalesce("source", F.lit(""))).join(limits.withColumnRenamed("source", "_name"), "_name", "left").join(_evidence(asked, tokens), "token", "left")
     at = F.array_max(F.transform(F.filter("_limits", lambda x: F.array_contains(F.col("lengths"), x["length"])), lambda x: x["posterior"]))
     p = F.least(F.greatest(F.coalesce(at, F.lit(0.0)), F.lit(PRIOR)), F.lit(1 - 1e-4))
-    evidence = (
-        F.when(F.col("class") == "broken", F.lit(9.0))
-        .when(F.col("class") == "whole", F.lit(-30.0))
-        .when((F.col("class") == "open") & at.isNull(), F.lit(-30.0))
-        .otherwise(F.coalesce("ratio", F.lit(0.0)))
-    )
-    score = F.log(p / (1 - p)) + evidence
-    return judged.select(
+    score = F.when((F.col("class") == "word") | (at > PRIOR), F.log(p / (1 - p)) + F.coalesce("ratio", F.lit(0.0)))
+    judged = some.withColumns({"limit_posterior": at, "score": score})
+    told = features.where("class not in ('word', 'open')").withColumns({"limit_posterior": F.lit(None).cast("double"), "score": F.lit(None).cast("double")})
+    columns = ["doc", "source", "score", "class", "token", "limit_posterior"]
+    both = judged.select(*columns).unionByName(told.select(*columns))
+    return both.select(
         F.col("doc").alias(doc_id),
         F.col("source").alias(source),
-        score.alias("score"),
-        (score > 0).alias("cut"),
+        "score",
+        F.coalesce(F.col("score") > 0, F.col("class") == "broken").alias("cut"),
         F.col("class").alias("ending"),
         F.col("token").alias("last_token"),
-        at.alias("limit_posterior"),
+        "limit_posterior",
     )
 
 

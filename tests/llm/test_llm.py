@@ -287,11 +287,26 @@ def corpus():
     return rows
 
 
+def features_of(spark, rows):
+    return spark.createDataFrame([(s, i, [f"c{n}", f"b{n + 1000}"]) for i, (s, n) in enumerate(rows)], "source string, doc bigint, lengths array<string>")
+
+
 def test_seldom_limits_are_found_among_many_common_lengths(spark):
-    rows = [("big", f"c{n}") for n in range(500, 620) for _ in range(40)] + [("big", "c5000")] * 30 + [("small", f"c{n}") for n in range(500, 620)] + [("small", "c5000")] * 30
-    features = spark.createDataFrame([(s, i, [n]) for i, (s, n) in enumerate(rows)], "source string, doc bigint, lengths array<string>")
-    got = {(r["source"], r["length"]): r["texts"] for r in truncation.source_limits(features).collect()}
-    assert got == {("big", "c5000"): 30, ("small", "c5000"): 30}
+    rows = [("big", n) for n in range(500, 620) for _ in range(40)] + [("big", 5000)] * 30 + [("small", n) for n in range(500, 620)] + [("small", 5000)] * 3
+    got = {(r["source"], r["length"]): r["texts"] for r in truncation.source_limits(features_of(spark, rows)).collect() if r["posterior"] > 0.9}
+    assert got == {("big", "c5000"): 30, ("small", "c5000"): 3, ("big", "b6000"): 30, ("small", "b6000"): 3}
+
+
+def test_a_source_may_have_many_limits_and_a_text_many_forms(spark):
+    rng = np.random.default_rng(3)
+    limits = [1000 + 40 * i for i in range(60)]
+    rows = [("a", int(n)) for n in np.exp(rng.normal(8, 1, 4_000))] + [("a", n) for n in limits for _ in range(12)]
+    got = {r["length"]: r["posterior"] for r in truncation.source_limits(features_of(spark, rows)).collect()}
+    assert {f"c{n}" for n in limits} <= {k for k, p in got.items() if p > 0.7} and len(got) < 2 * 60 + 10
+    # forms without additions don't count in the distribution: the fit is that of the stored lengths
+    forms = features_of(spark, rows).withColumn("lengths", F.concat("lengths", F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat(F.lit("c"), (F.col("doc") * 1000 + k * 100 + 10**8).cast("string")))))
+    again = {r["length"]: r["posterior"] for r in truncation.source_limits(forms).collect()}
+    assert all(again[k] == pytest.approx(p, abs=1e-9) for k, p in got.items() if k in {f"c{n}" for n in limits})
 
 
 def test_cut_texts_are_found_by_limit_and_ending(spark):
@@ -300,6 +315,7 @@ def test_cut_texts_are_found_by_limit_and_ending(spark):
     df = spark.createDataFrame([r[:3] for r in rows + extra], "doc_id bigint, text string, source string").withColumn("class", F.lit("clash"))
     got = {r["doc_id"]: r["cut"] for r in truncation.truncated_texts(df).collect()}
     assert 5000 not in got and 5001 not in got and not got[5002]
+    assert all(v is not None for v in got.values())
     truth = {i for i, text, _, cut in rows if cut and not text.rstrip().endswith((".", "!"))}
     found = {d for d, cut in got.items() if cut and d < 5000}
     whole_words = {i for i, text, s, cut in rows if cut and i % 40 == 0}
