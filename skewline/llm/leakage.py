@@ -21,9 +21,9 @@ TWICE = 1 << RUN + 1
 #: Empty places between two items, and between two documents.
 AFTER = RUN + PIECE
 #: Exact pieces that are walked from at once.
-SEEDS = 120_000
+SEEDS = 30_000
 #: Words of documents that are searched at once.
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 #: Place without a word among the items' words.
 EMPTY = -5
 #: Items indexed at once; more are taken in blocks.
@@ -188,13 +188,17 @@ class Texts:
         borne as lost, and only such words shift the text against the item (one stands for two run together, two for one divided):
         words left out or added in good spelling are no damage. A passage ends in a found word, after a shift in an exact piece.
         """
+        whole = np.zeros((len(at), BUDGET + 1), np.int64)
+        # a known word that nothing resembles, inside a cue, ends the text at once
+        number = self.numbers[at + 1]
+        some = np.flatnonzero((number == 0) | (number == self.words[place + 1]) | self.resembling[self.codes[at + 1]] | self.ends[at])
+        at, place = at[some], place[some]
         best = np.zeros((len(at), BUDGET + 1), np.int64)
         pattern = self.words[np.minimum(place[:, None] + 1 + np.arange(RUN), len(self.words) - 1)]
         # an item's end is no word
         length = np.argmax(np.concatenate([pattern <= 0, np.ones((len(at), 1), bool)], axis=1), axis=1)
         n = len(at)
         todo = (np.arange(n), at, np.full(n, FULL), *(np.zeros(n, np.int64) for _ in range(5)))
-        # at the start the places of the pieces themselves: what follows them
         while len(todo[0]):
             left = []
             while len(todo[0]):
@@ -208,7 +212,8 @@ class Texts:
                 break
             once = _distinct(h * len(self.doc) + x, *column)
             todo = self._next(at, pattern, length, best, h[once], x[once], *(c[once] for c in column))
-        return np.maximum.accumulate(best, axis=1)
+        whole[some] = np.maximum.accumulate(best, axis=1)
+        return whole
 
     def _same(self, number, code, word):
         """(same, bearable): whether each word of the document is the item's, or a damaged form of it that no item has; whether it is
