@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skewline.session import written
+
 
 def _parts(q: np.ndarray, p: np.ndarray, z: np.ndarray, x: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Sum over days of the cross-entropy of q against m p, with gradient and Hessian in theta (terms x states).
@@ -44,6 +46,8 @@ def fit_kernel(days: DataFrame, q: str, p: str, states: list[str], x: list[float
     rows = days.select(F.col(q).alias("_q"), F.col(p).alias("_p"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in states]).alias("_z")).where(
         "_q is not null and _p is not null and forall(_z, v -> v is not null)"
     )
+    # every step reads the days again: they are written once
+    rows = written(rows, "kernel-days")
 
     def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
         def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

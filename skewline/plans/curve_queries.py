@@ -148,7 +148,7 @@ def q_density_moments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_inverse_wedge(spark: SparkSession, folder: str) -> DataFrame:
-    """Contracts under the tilted density less those under the density itself, and whether both venues' signs agree."""
+    """Contracts under the tilted density less those under the density itself: the predicted side of the wedge."""
     rows = densities(spark, folder).withColumn("t", C.tilted(F.col("q"), F.col("x")))
     own, other = C.bounded_contracts(F.col("q"), F.col("x"), 1.0), C.bounded_contracts(F.col("t"), F.col("x"), 1.0)
     return _rounded(rows.select("date", "venue", *[(other[n] - own[n]).alias(f"d{n}") for n in own]))
@@ -258,13 +258,13 @@ def _over_squared_strike(kernel, forward: F.Column):
 
 
 def q_bkm(spark: SparkSession, folder: str) -> DataFrame:
-    """Moment contracts of each day's expiry nearest 27 days at its strike-averaged volatility, on 41 strikes."""
+    """Moment contracts of each day's expiry nearest 27 days at its strike-averaged volatility, on 500 strikes within 1.5 of log-moneyness."""
     from skewline.operators import options
 
     rows = cross_section(spark, folder).where("iv > 0 and tau > 0 and forward_price > 0")
     near = options.nearest_maturity(rows).select("date", "expiration")
     day = rows.join(near, ["date", "expiration"], "left_semi").groupBy("date").agg(F.avg("iv").alias("sigma"), F.min("tau").alias("tau"), F.avg("forward_price").alias("f"))
-    day = day.withColumn("k", C.linspace(-1.0, 1.0, 41))
+    day = day.withColumn("k", C.linspace(-1.5, 1.5, 500))
     out = day.select("date", *[c.alias(n) for n, c in bkm_contracts(F.col("f"), F.col("sigma"), F.col("tau"), F.col("k")).items()])
     mu = -(F.col("v") / 2 + F.col("w") / 6 + F.col("x") / 24)
     return _rounded(out.withColumn("mu", mu).withColumn("variance", F.col("v") - F.col("mu") * F.col("mu")), 7)
@@ -397,7 +397,7 @@ SQL = {
         select callput, strftime(date, '%Y-%m') as month, count(*) as n, {_r("avg(gap)", 7)} as mean, {_r("sqrt(avg(gap * gap))", 7)} as rms from g group by all""",
     "q_bkm": f"""{_FORWARD}, o as (select * from x where iv > 0 and tau > 0 and forward_price > 0){_NEAR.format(t="o")},
         dd as (select o.date, avg(iv) as sigma, min(o.tau) as tau, avg(o.forward_price) as f from o join near n on n.date = o.date and n.expiration = o.expiration group by 1),
-        g as (select date, sigma, tau, f, i, -1.0::double + 2.0::double * i / 40 as z from dd, (select unnest(range(0, 41)) as i)),
+        g as (select date, sigma, tau, f, i, -1.5::double + 3.0::double * i / 499 as z from dd, (select unnest(range(0, 500)) as i)),
         h as (select *, f * exp(z) as kk, -z / (sigma * sqrt(tau)) + sigma * sqrt(tau) / 2 as d1, -z / (sigma * sqrt(tau)) - sigma * sqrt(tau) / 2 as d2 from g),
         p as (select *, {_BK_PRICE} as price from h),
         y as (select date, i, kk, 2 * (1 - z) / (kk * kk) * price as yv, (6 * z - 3 * z * z) / (kk * kk) * price as yw, (12 * z * z - 4 * z * z * z) / (kk * kk) * price as yx from p),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.operators import inference, panel
-from skewline.plans.panels import _PANEL, _TER, _terciles, daily, fits
+from skewline.operators import inference
+from skewline.plans.panels import _PANEL, _TER, _terciles, daily
 from skewline.plans.trades import NUDGE, _rounded
 
-DRAWS, BLOCK, LAGS = 100, 27, 5
+DRAWS, BLOCK, LAGS = 1000, 27, 27
 
 
 def q_boot_mean(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,28 +36,11 @@ def q_dk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(out.select("panel", "term", "n", "estimate", "error"), 6)
 
 
-def q_matched_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """The venues' difference in fit error on the days' mean volatility index, 27 lags, with p-values and stars."""
-    wedge = panel.venue_difference(fits(spark, folder), "date", "venue", "rmse").select("date", "wedge")
-    z = daily(spark, folder).groupBy("date").agg(F.avg("vix").alias("vix"), F.avg("fng").alias("fng"))
-    rows = wedge.join(z, "date").withColumn("pair", F.lit("DER - CME"))
-    out = inference.robust_ols(rows, "pair", "date", "wedge", {"vix": F.col("vix"), "fng": F.col("fng")}, 27)
-    return out.withColumn("stars", panel.stars(F.col("p")))
-
-
-def q_event_regression(spark: SparkSession, folder: str) -> DataFrame:
-    """The venues' difference in fit error on event-window dummies."""
-    wedge = panel.venue_difference(fits(spark, folder), "date", "venue", "rmse").select("date", "wedge", F.lit("DER - CME").alias("pair"))
-    events = {"may2021": ("2021-05-10", "2021-06-10"), "terra": ("2022-05-05", "2022-06-05"), "ftx": ("2022-11-05", "2022-12-05")}
-    dummies = {n: F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")).cast("double") for n, (a, b) in events.items()}
-    return inference.robust_ols(wedge, "pair", "date", "wedge", dummies, 27)
-
-
-def _boot_sql(base: str, rows: str, label: str | None) -> str:
+def _boot_sql(base: str, rows: str, label: str | None, draws: int = DRAWS) -> str:
     lab = ", label" if label else ""
     return f"""{base}, rows_ as (select source as k, date as o, {rows}), nn as (select k, count(*) as n, ceil(count(*) / {BLOCK}.0)::bigint as nb from rows_ group by 1),
         ind as (select k, v, row_number() over (partition by k order by o) - 1 as i{', label' if label else ''} from rows_),
-        mx as (select max(nb) as m from nn), dr as (select unnest(range(0, {DRAWS})) as draw),
+        mx as (select max(nb) as m from nn), dr as (select unnest(range(0, {draws})) as draw),
         bl as (select k, n, draw, b, (1103515245::bigint * (draw * m + b) + 12345) % 2147483648 % n as a, least({BLOCK}, n - b * {BLOCK}) as len
             from (select k, n, draw, m, unnest(range(0, nb)) as b from nn, mx, dr)),
         px as (select k, draw, unnest(range(a, a + len)) % n as i from bl),

@@ -41,7 +41,7 @@ def resume_point(shards: DataFrame, millis: str = "timestamp") -> int | None:
 
 def write_result(df: DataFrame, path: str) -> None:
     """A small result table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def show_table(df: DataFrame, columns: list[str] | None = None, order: list[str] | None = None, digits: int | None = None) -> DataFrame:

@@ -232,3 +232,19 @@ def test_stars_and_attrition(spark):
     assert [r[0] for r in df.select(panel.stars(F.col("p"))).collect()] == ["***", "**", "*", "", ""]
     steps = [("known", F.col("p").isNotNull()), ("small", F.coalesce(F.col("p") < 0.05, F.lit(False)))]
     assert [(r["n_before"], r["n_after"]) for r in options.attrition(df, steps).orderBy("step_no").collect()] == [(5, 4), (4, 2)]
+
+
+def test_robust_ols_equals_plain_sandwiches(spark):
+    rng = np.random.default_rng(6)
+    n, lags = 80, 5
+    x = np.column_stack([np.ones(n), rng.normal(0, 1, (n, 2))])
+    y = x @ [0.5, 2.0, -1.0] + np.convolve(rng.normal(0, 1, n + 3), np.ones(4) / 2, "valid")
+    df = spark.createDataFrame([("a", i, float(y[i]), float(x[i, 1]), float(x[i, 2])) for i in range(n)], "k string, o int, y double, u double, v double")
+    got = {r["term"]: r for r in inference.robust_ols(df, "k", "o", "y", {"u": F.col("u"), "v": F.col("v")}, lags).collect()}
+    bread = np.linalg.inv(x.T @ x)
+    b = bread @ x.T @ y
+    h = x * (y - x @ b)[:, None]
+    meat = h.T @ h + sum((1 - m / (lags + 1)) * (h[m:].T @ h[:-m] + h[:-m].T @ h[m:]) for m in range(1, lags + 1))
+    error = np.sqrt(np.diag(bread @ meat @ bread))
+    for i, term in enumerate(("const", "u", "v")):
+        assert got[term]["estimate"] == pytest.approx(b[i]) and got[term]["error"] == pytest.approx(error[i])
