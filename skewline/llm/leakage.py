@@ -90,7 +90,8 @@ class Items:
         for w in self.number:
             for part in self._parts(w):
                 self.parts.setdefault(part, []).append(w)
-        self.known: dict[str, int] = {}
+        self.letters = {w: frozenset(w) for w in self.number}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def _parts(word: str) -> Iterator[tuple[int, str]]:
@@ -127,7 +128,10 @@ class Items:
                             if at >= 0:
                                 seen.update(self.parts.get((cut[i], word[at : at + cut[i + 1] - cut[i]]), ()))
             seen.discard(word)
-            found = tuple(self.number[w] for w in seen if abs(len(w) - len(word)) <= edits_borne(w) and myers(w, word) <= edits_borne(w))
+            # an edit takes one letter away and adds one at most
+            own = frozenset(word)
+            near = ((w, edits_borne(w)) for w in seen if len(self.letters[w] ^ own) <= 2 * edits_borne(w))
+            found = tuple(self.number[w] for w, k in near if abs(len(w) - len(word)) <= k and myers(w, word) <= k)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = found
