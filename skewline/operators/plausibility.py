@@ -336,7 +336,9 @@ def _part(readings: Readings, source: pa.Scalar, shard: pa.Scalar, ids: pa.Array
     there = np.flatnonzero(np.isfinite(readings.v))
     _, place, x = readings.tested()
     _, plus, minus = _steps(readings.group[place], x)
-    lists = {"ids": ids.take(pa.array(there)).cast(pa.string())} | {n: pa.array(a[there]) for n, a in (("v", readings.v), ("base", readings.base), ("upper", readings.upper))}
+    lists = {"ids": ids.take(pa.array(there)).cast(pa.string()), "v": pa.array(readings.v[there])}
+    # what a rule doesn't have isn't carried along
+    lists |= {n: pa.array(a[there] if np.isfinite(a).any() else a[:0]) for n, a in (("base", readings.base), ("upper", readings.upper))}
     for name, code in (("plus", plus), ("minus", minus)):
         lists[name], lists[f"{name}_n"] = (pa.array(a) for a in np.unique(code, return_counts=True))
     one = {n: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for n, a in lists.items()}
@@ -351,11 +353,11 @@ def _judge_parts(rules: tuple[Rule, ...]):
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b[c][i] for c in b.schema.names}
-                lists = []
+                before, after, own = row["before"].as_py() or [], row["after"].as_py() or [], len(row["ids"])
+                lists, skipped = [], len(before)
                 for name in ("v", "base", "upper"):
-                    around = [np.array([x[name] for x in row[side].as_py() or []], float) for side in ("before", "after")]
-                    lists.append(np.concatenate([around[0], row[name].values.to_numpy(zero_copy_only=False), around[1]]))
-                skipped, own = len(row["before"].as_py() or []), len(row["ids"])
+                    inner = row[name].values.to_numpy(zero_copy_only=False) if len(row[name]) else np.full(own, np.nan)
+                    lists.append(np.concatenate([np.array([x[name] for x in before], float), inner, np.array([x[name] for x in after], float)]))
                 readings = Readings(named[row["field_name"].as_py()], np.zeros(len(lists[0]), int), *lists)
                 fit = fit_of(*(np.array([[np.nan if q is None else q] for q in row[c].as_py()], float) for c in ("plus_q", "minus_q")))
                 median = row["median"].as_py()
@@ -432,7 +434,7 @@ def implausible_readings(
     rules: list[Rule],
     least: int = 30,
     reference: tuple[str, DataFrame] | None = None,
-    rows_per_shard: int = 200_000,
+    rows_per_shard: int = 100_000,
 ) -> DataFrame:
     """(``key``, ``field_name``, ``source``): each implausible reading once.
 
