@@ -323,10 +323,10 @@ def leaks_of(items: Items, numbers: np.ndarray, words: list[str], doc: np.ndarra
     out = []
     for size, at, place in _seeds(items, numbers, ahead, back):
         for part in range(0, len(at), SEEDS):
-            a, p = at[part : part + SEEDS], place[part : part + SEEDS]
-            right = ahead.reached(a + size - 1, p + size - 1)
+            n, a, p = (c[part : part + SEEDS] for c in (size, at, place))
+            right = ahead.reached(a + n - 1, p + n - 1)
             left = back.reached(len(doc) - 1 - a, len(items.words) - 1 - p)
-            longest = size + np.max([left[:, e] + right[:, BUDGET - e] for e in range(BUDGET + 1)], axis=0)
+            longest = n + np.max([left[:, e] + right[:, BUDGET - e] for e in range(BUDGET + 1)], axis=0)
             leaked = longest >= least
             out.append(np.stack([doc[a][leaked], items.item[p][leaked]], axis=1))
     if not out:
@@ -335,13 +335,18 @@ def leaks_of(items: Items, numbers: np.ndarray, words: list[str], doc: np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
-def _seeds(items: Items, numbers: np.ndarray, ahead: Texts, back: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _seeds(items: Items, numbers: np.ndarray, ahead: Texts, back: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(words, places in the documents, places in the items) of the exact pieces from which runs are sought on either side."""
     at, place = items.hits(numbers)
     # of pieces side by side on one diagonal the first leads to all others; a jump may also enter where a cue starts
-    first = (numbers[at - 1] != items.words[place - 1]) | ahead.ends[at - 1]
+    order = np.lexsort((at, place - at))
+    at, place = at[order], place[order]
+    first = np.flatnonzero((numbers[at - 1] != items.words[place - 1]) | ahead.ends[at - 1])
+    size = np.diff(np.append(first, len(at))) + PIECE - 1
     at, place = at[first], place[first]
-    yield PIECE, at, place
+    # within one cue they are one long piece; over a cue's end the first is walked from, as other cues may follow there
+    ends = np.cumsum(ahead.ends)
+    yield np.where(ends[at + size - 2] > ends[at - 1], PIECE, size), at, place
     # pieces divided by a cue end, with the rest of them at the edge of any other cue: 2|1, 1|2, 1|1|1
     ends = ahead.ends
     starts = np.concatenate(([True], ends[:-1]))
@@ -353,7 +358,7 @@ def _seeds(items: Items, numbers: np.ndarray, ahead: Texts, back: Texts) -> Iter
         if left:
             some = back.follows(len(numbers) - 1 - at, len(items.words) - 1 - place)
             at, place = at[some], place[some]
-        yield size, at, place
+        yield np.full(len(at), size), at, place
 
 
 def _put(held: tuple[list, list[str], list[int], list[int]], words: list[str], doc: int) -> None:
