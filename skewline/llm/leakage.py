@@ -193,10 +193,16 @@ class Texts:
         words left out or added in good spelling are no damage. A passage ends in a found word, after a shift in an exact piece.
         """
         whole = np.zeros((len(at), BUDGET + 1), np.int64)
-        # a known word that nothing resembles, inside a cue, ends the text at once
-        number = self.numbers[at + 1]
-        some = np.flatnonzero((number == 0) | (number == self.words[place + 1]) | self.resembling[self.codes[at + 1]] | self.ends[at])
-        at, place = at[some], place[some]
+        # a known word that is no form of the item's next one, inside a cue, ends the text at once
+        same, bearable = self._same(self.numbers[at + 1], self.codes[at + 1], self.words[place + 1])
+        some = np.flatnonzero(same | bearable | self.ends[at])
+        for part in range(0, len(some), SEEDS):
+            now = some[part : part + SEEDS]
+            whole[now] = self._walked(at[now], place[now])
+        return whole
+
+    def _walked(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``reached`` of pieces whose text doesn't end at once, step by step for all of them."""
         best = np.zeros((len(at), BUDGET + 1), np.int64)
         pattern = self.words[np.minimum(place[:, None] + 1 + np.arange(RUN), len(self.words) - 1)]
         # an item's end is no word
@@ -216,8 +222,7 @@ class Texts:
                 break
             once = _distinct(h * len(self.doc) + x, *column)
             todo = self._next(at, pattern, length, best, h[once], x[once], *(c[once] for c in column))
-        whole[some] = np.maximum.accumulate(best, axis=1)
-        return whole
+        return np.maximum.accumulate(best, axis=1)
 
     def _same(self, number, code, word):
         """(same, bearable): whether each word of the document is the item's, or a damaged form of it that no item has; whether it is
@@ -314,21 +319,20 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def leaks_of(items: Items, numbers: np.ndarray, words: list[str], doc: np.ndarray, cue: np.ndarray, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+def leaks_of(items: Items, words: list[str], doc: np.ndarray, cue: np.ndarray, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(document, item) of each leak among the words of a batch of documents, in order."""
-    code: dict[str, int] = {}
-    codes = np.array([code.setdefault(w, len(code)) for w in words], np.int64)
+    code = {w: c for c, w in enumerate(dict.fromkeys(words))}
+    codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+    numbers = np.array([items.number.get(w, 0) for w in code], np.int64)[codes]
     near = np.sort(np.array([c * items.base + v for w, c in code.items() for v in items.near(w)], np.int64))
     ahead, back = (Texts(items, numbers, codes, near, doc, cue, b) for b in (False, True))
     out = []
     for size, at, place in _seeds(items, numbers, ahead, back):
-        for part in range(0, len(at), SEEDS):
-            n, a, p = (c[part : part + SEEDS] for c in (size, at, place))
-            right = ahead.reached(a + n - 1, p + n - 1)
-            left = back.reached(len(doc) - 1 - a, len(items.words) - 1 - p)
-            longest = n + np.max([left[:, e] + right[:, BUDGET - e] for e in range(BUDGET + 1)], axis=0)
-            leaked = longest >= least
-            out.append(np.stack([doc[a][leaked], items.item[p][leaked]], axis=1))
+        right = ahead.reached(at + size - 1, place + size - 1)
+        left = back.reached(len(doc) - 1 - at, len(items.words) - 1 - place)
+        longest = size + np.max([left[:, e] + right[:, BUDGET - e] for e in range(BUDGET + 1)], axis=0)
+        leaked = longest >= least
+        out.append(np.stack([doc[at][leaked], items.item[place][leaked]], axis=1))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.unique(np.concatenate(out), axis=0)
@@ -362,11 +366,11 @@ def _seeds(items: Items, numbers: np.ndarray, ahead: Texts, back: Texts) -> Iter
 
 
 def _put(held: tuple[list, list[str], list[int], list[int]], words: list[str], doc: int) -> None:
-    """Adds the words of one cue: the lists of words, of their cue (numbered throughout) and of their document grow."""
-    _, every, cues, docs = held
+    """Adds the words of one cue: the list of words grows by them, the lists of cues' lengths and documents by one."""
+    _, every, lengths, docs = held
     every.extend(words)
-    cues.extend([cues[-1] + 1 if cues else 0] * len(words))
-    docs.extend([doc] * len(words))
+    lengths.append(len(words))
+    docs.append(doc)
 
 
 def _search(block: list[tuple[int, str, bool]]):
@@ -375,16 +379,14 @@ def _search(block: list[tuple[int, str, bool]]):
         held: tuple[list, list[str], list[int], list[int]] = ([], [], [], [])
 
         def found() -> pa.RecordBatch:
-            ids, words, cues, docs = held
-            get = items.number.get
-            numbers = np.array([get(w, 0) for w in words], np.int64)
-            d, i = leaks_of(items, numbers, words, np.array(docs, np.int64), np.array(cues, np.int64))
+            ids, words, lengths, docs = held
+            d, i = leaks_of(items, words, np.repeat(np.array(docs, np.int64), lengths), np.repeat(np.arange(len(lengths)), lengths))
             return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in d], pa.int64()), pa.array([items.ids[k] for k in i], pa.int64())], names=["_doc", "_item"])
 
         apart = [""] * AFTER
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, words, cues, docs = held
+                ids, words, _, _ = held
                 if not words:
                     _put(held, apart, -1)
                 for own in folded("\n\f".join(cue_texts(repaired(text)))).split("\f"):

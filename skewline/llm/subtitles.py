@@ -61,8 +61,8 @@ def lines_of(text: str) -> str:
     return text.removeprefix("﻿")
 
 
-#: Characters that recognition takes for one another, folded onto one of them.
-_ALIKE = str.maketrans({"0": "o", "1": "l", "|": "l", "i": "l", "5": "s", "ı": "l", "ł": "l", "ß": "s", "ø": "o", "đ": "d", "æ": "e", "œ": "e"})
+#: Characters that recognition takes for one another, folded onto one of them, in this order.
+_ALIKE = {"0": "o", "1": "l", "|": "l", "i": "l", "5": "s", "ı": "l", "ł": "l", "ß": "s", "ø": "o", "đ": "d", "æ": "e", "œ": "e", "rn": "m", "vv": "w"}
 
 
 def folded(text: str) -> str:
@@ -70,7 +70,9 @@ def folded(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
-    return text.translate(_ALIKE).replace("rn", "m").replace("vv", "w")
+    for seen, meant in _ALIKE.items():
+        text = text.replace(seen, meant)
+    return text
 
 
 def cue_texts(text: str) -> list[str]:
