@@ -15,15 +15,8 @@ def block_start(index: Column, n: Column) -> Column:
     return (F.lit(1103515245).cast("bigint") * index + 12345) % 2147483648 % n
 
 
-def bootstrap_means(df: DataFrame, key: str, order: str, value: str, block: int = 27, draws: int = 200, label: str | None = None) -> DataFrame:
-    """(key[, label], n, mean, low, high, error): the mean of ``value`` and its band over circular block draws.
-
-    Null values are left out beforehand. A draw takes ceil(n / block) blocks from row u mod n on, around the end,
-    the last one shortened to n rows in all. Its sum comes from two prefix sums a block, so no draw touches its rows
-    one by one: draws x blocks lookups per key, whatever the length. With ``label``, rows keep theirs, and means are those
-    of each label among the drawn rows; a draw without the label has none. low and high are the 2.5 and 97.5 percentiles, error the
-    draws' sample deviation.
-    """
+def _drawn(df: DataFrame, key: str, order: str, value: str, block: int, draws: int, label: str | None) -> tuple[DataFrame, DataFrame]:
+    """(draws' means, totals) of ``value`` by key and label; see ``bootstrap_means``."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(value).cast("double").alias("_v"), (F.col(label) if label else F.lit("")).alias("_label"))
     labels = rows.select("_key", "_label").distinct()
     by = Window.partitionBy("_key")
@@ -55,6 +48,19 @@ def bootstrap_means(df: DataFrame, key: str, order: str, value: str, block: int
     sums = looked.join(prefix.select("_key", "_of", "_i", "_s", "_c"), ["_key", "_of", "_i"], "left")
     part = lambda total, own: F.sum(F.col("_sign") * F.coalesce(F.col(own), F.lit(0)) + F.col("_round") * F.col(total))
     means = sums.groupBy("_key", "_of", "draw").agg(part("_total", "_s").alias("_sum"), part("_count", "_c").alias("_rows")).withColumn("_mean", F.try_divide("_sum", "_rows"))
+    return means, totals
+
+
+def bootstrap_means(df: DataFrame, key: str, order: str, value: str, block: int = 27, draws: int = 200, label: str | None = None) -> DataFrame:
+    """(key[, label], n, mean, low, high, error): the mean of ``value`` and its band over circular block draws.
+
+    Null values are left out beforehand. A draw takes ceil(n / block) blocks from row u mod n on, around the end,
+    the last one shortened to n rows in all. Its sum comes from two prefix sums a block, so no draw touches its rows
+    one by one: draws x blocks lookups per key, whatever the length. With ``label``, rows keep theirs, and means are those
+    of each label among the drawn rows; a draw without the label has none. low and high are the 2.5 and 97.5 percentiles, error the
+    draws' sample deviation.
+    """
+    means, totals = _drawn(df, key, order, value, block, draws, label)
     bands = means.groupBy("_key", "_of").agg(F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"), F.stddev_samp("_mean").alias("error"))
     out = totals.join(bands, ["_key", "_of"])
     return out.select(
@@ -63,6 +69,60 @@ def bootstrap_means(df: DataFrame, key: str, order: str, value: str, block: int
     )
 
 
+def bootstrap_draws(df: DataFrame, key: str, order: str, value: str, block: int = 27, draws: int = 200, label: str | None = None) -> DataFrame:
+    """(key[, label], draw, mean): the means of ``bootstrap_means`` draw by draw, those over all rows as draw -1.
+
+    Keys with equally many rows share their blocks, so the means of one draw belong together. A draw without the label has a null mean.
+    """
+    means, totals = _drawn(df, key, order, value, block, draws, label)
+    whole = totals.select("_key", "_of", F.lit(-1).alias("draw"), (F.col("_total") / F.col("_count")).alias("_mean"))
+    rows = means.select("_key", "_of", "draw", "_mean").unionByName(whole)
+    return rows.select(F.col("_key").alias(key), *([F.col("_of").alias(label)] if label else []), "draw", F.col("_mean").alias("mean"))
+
+
+def statistic_bands(draws: DataFrame, keys: list[str], statistic: Column) -> DataFrame:
+    """(keys, estimate, low, high, error, n_ok, n_failed, share_low, p): a statistic of each draw's means, one row per draw.
+
+    The estimate is that of draw -1. Draws whose statistic is null have failed and are counted, not used. ``share_low`` is the share
+    of draws at or below zero, ``p`` twice the smaller share on either side of zero, one at most.
+    """
+    rows = draws.select(*keys, "draw", statistic.cast("double").alias("_s"))
+    drawn = F.when(F.col("draw") >= 0, F.col("_s"))
+    out = rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("draw") < 0, F.col("_s"))).alias("estimate"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975))).alias("_p"), F.stddev_samp(drawn).alias("error"),
+        F.count(drawn).alias("n_ok"), F.count_if((F.col("draw") >= 0) & F.col("_s").isNull()).alias("n_failed"),
+        F.avg((drawn <= 0).cast("double")).alias("share_low"), F.avg((drawn >= 0).cast("double")).alias("_above"),
+    )
+    p = F.least(F.lit(1.0), 2 * F.least("share_low", "_above"))
+    return out.select(*keys, "estimate", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "error", "n_ok", "n_failed", "share_low", p.alias("p"))
+
+
+def joint_wald(draws: DataFrame, terms: tuple[str, str, str]) -> DataFrame:
+    """(wald, p, n_ok, n_failed): d' S^-1 d of three terms d, with S the covariance of the draws.
+
+    One row per draw, that of the estimate as draw -1. p counts the draws whose own distance from the estimate, under the same S, is
+    as great: (1 + count) / (draws + 1). Draws with a null term have failed. No inverse, no result.
+    """
+    d = [F.col(t) for t in terms]
+    whole = F.lit(True)
+    for t in d:
+        whole = whole & t.isNotNull()
+    drawn = whole & (F.col("draw") >= 0)
+    own = lambda i: F.when(drawn, d[i])
+    moments = draws.agg(
+        *[F.covar_samp(own(i), own(j)).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)], *[F.max(F.when(F.col("draw") < 0, d[i])).alias(f"e{i}") for i in range(3)],
+        F.count_if((F.col("draw") >= 0) & ~whole).alias("n_failed"),
+    )
+    s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
+    minor = lambda i, j: s((i + 1) % 3, (j + 1) % 3) * s((i + 2) % 3, (j + 2) % 3) - s((i + 1) % 3, (j + 2) % 3) * s((i + 2) % 3, (j + 1) % 3)
+    determinant = sum((s(0, j) * minor(0, j) for j in range(3)), F.lit(0.0))
+    form = lambda v: F.try_divide(sum((v[i] * v[j] * minor(i, j) for i in range(3) for j in range(3)), F.lit(0.0)), determinant)
+    rows = draws.where(drawn).select(*terms).crossJoin(F.broadcast(moments))  # one row
+    e = [F.col(f"e{i}") for i in range(3)]
+    rows = rows.select("n_failed", form(e).alias("wald"), form([a - b for a, b in zip(d, e, strict=True)]).alias("_own"))
+    return rows.groupBy("wald", "n_failed").agg(F.count(F.lit(1)).alias("n_ok"), ((F.count_if(F.col("_own") >= F.col("wald")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
 def normal_p(t: float) -> float:
     return math.erfc(abs(t) / math.sqrt(2))
 

@@ -36,16 +36,21 @@ def q_dk(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(out.select("panel", "term", "n", "estimate", "error"), 6)
 
 
-def _boot_sql(base: str, rows: str, label: str | None, draws: int = DRAWS) -> str:
+def _draws_sql(base: str, rows: str, label: bool = False, draws: int = DRAWS) -> str:
+    """Means of rows_ (k, o, v[, label]) by key and draw (me), and over all rows (ob)."""
     lab = ", label" if label else ""
-    return f"""{base}, rows_ as (select source as k, date as o, {rows}), nn as (select k, count(*) as n, ceil(count(*) / {BLOCK}.0)::bigint as nb from rows_ group by 1),
+    return f"""{base}, rows_ as ({rows}), nn as (select k, count(*) as n, ceil(count(*) / {BLOCK}.0)::bigint as nb from rows_ group by 1),
         ind as (select k, v, row_number() over (partition by k order by o) - 1 as i{', label' if label else ''} from rows_),
         mx as (select max(nb) as m from nn), dr as (select unnest(range(0, {draws})) as draw),
         bl as (select k, n, draw, b, (1103515245::bigint * (draw * m + b) + 12345) % 2147483648 % n as a, least({BLOCK}, n - b * {BLOCK}) as len
             from (select k, n, draw, m, unnest(range(0, nb)) as b from nn, mx, dr)),
         px as (select k, draw, unnest(range(a, a + len)) % n as i from bl),
         me as (select ind.k, draw{lab}, avg(v) as mean from px join ind on ind.k = px.k and ind.i = px.i group by all),
-        ob as (select k{lab}, count(*) as n, avg(v) as mean from ind group by all)
+        ob as (select k{lab}, count(*) as n, avg(v) as mean from ind group by all)"""
+
+
+def _boot_sql(base: str, rows: str, label: str | None, draws: int = DRAWS) -> str:
+    return f"""{_draws_sql(base, f"select source as k, date as o, {rows}", bool(label), draws)}
         select ob.k as source{', ob.label as ' + label if label else ''}, ob.n, round(ob.mean + {NUDGE}, 7) as mean, round(quantile_cont(me.mean, 0.025) + {NUDGE}, 7) as low,
         round(quantile_cont(me.mean, 0.975) + {NUDGE}, 7) as high, round(stddev_samp(me.mean) + {NUDGE}, 7) as error
         from ob join me on me.k = ob.k{' and me.label = ob.label' if label else ''} group by all"""

@@ -92,8 +92,8 @@ def q_near_target(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _det(m: list[list[str]]) -> str:
-    if len(m) == 1:
-        return m[0][0]
+    if not m:
+        return "1.0::double"
     return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {_det([[*r[:j], *r[j + 1 :]] for r in m[1:]])}" for j in range(len(m))) + ")"
 
 
