@@ -93,7 +93,7 @@ def statistic_bands(draws: DataFrame, keys: list[str], statistic: Column) -> Dat
         F.count(drawn).alias("n_ok"), F.count_if((F.col("draw") >= 0) & F.col("_s").isNull()).alias("n_failed"),
         F.avg((drawn <= 0).cast("double")).alias("share_low"), F.avg((drawn >= 0).cast("double")).alias("_above"),
     )
-    p = F.least(F.lit(1.0), 2 * F.least("share_low", "_above"))
+    p = F.when(F.col("n_ok") > 0, F.least(F.lit(1.0), 2 * F.least("share_low", "_above")))
     return out.select(*keys, "estimate", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "error", "n_ok", "n_failed", "share_low", p.alias("p"))
 
 

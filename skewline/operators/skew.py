@@ -44,7 +44,24 @@ def key_totals(frequencies: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def key_percentiles(frequencies: DataFrame, keys: list[str], probabilities: tuple[float, ...] = (0.5,)) -> DataFrame:
-    """Exact percentiles per key: the smallest value whose cumulative rows reach p times all (discrete, type 1).
+    """(keys, p, percentile): exact percentiles, the smallest value whose cumulative rows reach p times all (discrete, type 1)."""
+    ranks = [F.struct(F.lit(float(p)).alias("p"), F.greatest(F.ceil(F.lit(float(p)) * F.col("_all")), F.lit(1)).alias("_rank"), F.lit(1.0).alias("_share")) for p in probabilities]
+    return _at_ranks(frequencies, keys, F.array(*ranks)).select(*keys, "p", F.col("_value").alias("percentile"))
+
+
+def interpolated_percentiles(frequencies: DataFrame, keys: list[str], probabilities: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """(keys, p, percentile): exact percentiles with linear interpolation between the two ranks around 1 + p (n - 1) (type 7)."""
+    ranks = []
+    for p in probabilities:
+        at = F.lit(float(p)) * (F.col("_all") - 1)
+        low, part = F.floor(at), at - F.floor(at)
+        ranks += [F.struct(F.lit(float(p)).alias("p"), (low + 1).alias("_rank"), (1 - part).alias("_share")), F.struct(F.lit(float(p)).alias("p"), (low + 2).alias("_rank"), part.alias("_share"))]
+    found = _at_ranks(frequencies, keys, F.filter(F.array(*ranks), lambda r: r["_share"] > 0))
+    return found.groupBy(*keys, "p").agg(F.sum(F.col("_value") * F.col("_share")).alias("percentile"))
+
+
+def _at_ranks(frequencies: DataFrame, keys: list[str], ranks: Column) -> DataFrame:
+    """(keys, p, _share, _value): the values at ``ranks``, an array of (p, _rank, _share) that may refer to a key's rows ``_all``.
 
     A key's values are cut into logarithmic buckets of a quarter of a percent. Cumulative counts of the buckets show which one
     holds each rank; only that bucket's values are then put in order. So no window holds all values of a hot key:
@@ -57,17 +74,16 @@ def key_percentiles(frequencies: DataFrame, keys: list[str], probabilities: tupl
     wanted = (
         by_bucket.withColumn("_upto", F.sum("_in").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_all", F.sum("_in").over(Window.partitionBy(*keys)))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("_rank", F.greatest(F.ceil(F.col("p") * F.col("_all")), F.lit(1)))
+        .select(*keys, "_bucket", "_upto", "_in", F.inline(ranks))
         .where("_rank <= _upto and _rank > _upto - _in")
-        .select(*keys, "_bucket", "p", (F.col("_rank") - (F.col("_upto") - F.col("_in"))).alias("_rest"))
+        .select(*keys, "_bucket", "p", "_share", (F.col("_rank") - (F.col("_upto") - F.col("_in"))).alias("_rest"))
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("_cum", F.sum("_rows").over(inside))
     return (
         ranked.join(wanted, [*keys, "_bucket"])
         .where("_rest <= _cum and _rest > _cum - _rows")
-        .select(*keys, "p", F.col("_value").alias("percentile"))
+        .select(*keys, "p", "_share", "_value")
     )
 
 

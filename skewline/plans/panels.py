@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skewline.operators import ordered, panel
+from skewline.operators import ordered, panel, skew
 from skewline.plans.trades import NUDGE, _rounded
 from skewline.sources.tables import table, without_nan
 
@@ -131,8 +131,12 @@ def q_regime_table(spark: SparkSession, folder: str) -> DataFrame:
 def q_year_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Fit error per venue and year, with the row of all years."""
     rows = fits(spark, folder).where("rmse is not null and venue is not null").withColumn("year", F.year("date").cast("string"))
-    out = rows.rollup("venue", "year").agg(F.count(F.lit(1)).alias("n"), F.avg("rmse").alias("mean"), F.percentile("rmse", F.lit(0.5)).alias("median"), F.grouping("year").alias("_all"))
-    return _rounded(out.where("venue is not null").select("venue", F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("year")).alias("year"), "n", "mean", "median"))
+    # a row counts for its year and for all years; values are compressed before either is put in order
+    frequencies = skew.value_frequencies(rows, {"venue": F.col("venue"), "year": F.col("year")}, F.col("rmse"))
+    both = frequencies.withColumn("year", F.explode(F.array("year", F.lit("all")))).groupBy("venue", "year", "_value").agg(F.sum("_rows").alias("_rows"))
+    totals = both.groupBy("venue", "year").agg(F.sum("_rows").alias("n"), (F.sum(F.col("_value") * F.col("_rows")) / F.sum("_rows")).alias("mean"))
+    median = skew.interpolated_percentiles(both, ["venue", "year"]).select("venue", "year", F.col("percentile").alias("median"))
+    return _rounded(totals.join(median, ["venue", "year"]))
 
 
 def q_moment_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,8 +147,8 @@ def q_moment_summary(spark: SparkSession, folder: str) -> DataFrame:
 def q_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     rows = fits(spark, folder).where("venue is not null and rmse is not null")
     at = [0.05, 0.25, 0.5, 0.75, 0.95]
-    q = rows.groupBy("venue").agg(F.percentile("rmse", F.array(*[F.lit(a) for a in at])).alias("_q"))
-    return _rounded(q.select("venue", *[F.col("_q")[i].alias(f"p{int(a * 100):02d}") for i, a in enumerate(at)]))
+    q = skew.interpolated_percentiles(skew.value_frequencies(rows, {"venue": F.col("venue")}, F.col("rmse")), ["venue"], tuple(at))
+    return _rounded(q.groupBy("venue").agg(*[F.max(F.when(F.col("p") == a, F.col("percentile"))).alias(f"p{int(a * 100):02d}") for a in at]))
 
 
 def q_share(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skewline.functions import curves as C
 from skewline.functions import special as S
-from skewline.operators import asof, inference, kernel, options, ordered, panel, surface
+from skewline.operators import asof, inference, kernel, options, ordered, panel, skew, surface
 
 D = dt.date(2024, 1, 1)
 
@@ -248,3 +248,54 @@ def test_robust_ols_equals_plain_sandwiches(spark):
     error = np.sqrt(np.diag(bread @ meat @ bread))
     for i, term in enumerate(("const", "u", "v")):
         assert got[term]["estimate"] == pytest.approx(b[i]) and got[term]["error"] == pytest.approx(error[i])
+
+
+def test_statistics_of_draws_count_failures(spark):
+    values = [None, 1.0, -1.0, 2.0, 3.0, 0.0, None]
+    df = spark.createDataFrame([("k", -1, 1.5), *[("k", i, v) for i, v in enumerate(values)], ("lost", -1, None), ("lost", 0, None)], "key string, draw int, mean double")
+    got = {r["key"]: r for r in inference.statistic_bands(df, ["key"], F.col("mean") * 2).collect()}
+    drawn = np.array([v for v in values if v is not None]) * 2
+    r = got["k"]
+    assert r["estimate"] == 3.0 and r["n_ok"] == 5 and r["n_failed"] == 2 and r["share_low"] == pytest.approx(0.4) and r["p"] == pytest.approx(0.8)
+    assert [r["low"], r["high"]] == pytest.approx(np.quantile(drawn, [0.025, 0.975]).tolist()) and r["error"] == pytest.approx(drawn.std(ddof=1))
+    assert got["lost"]["estimate"] is None and got["lost"]["p"] is None and got["lost"]["n_failed"] == 1
+    assert inference.statistic_bands(df.where("false"), ["key"], F.col("mean")).count() == 0
+
+
+def test_joint_wald_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    drawn = rng.normal(0, 1, (60, 3)) @ np.array([[1.0, 0.3, 0.0], [0.0, 0.8, 0.2], [0.0, 0.0, 0.5]]) + [0.4, -0.2, 0.1]
+    rows = [(-1, 0.4, -0.2, 0.1), *[(i, *map(float, d)) for i, d in enumerate(drawn)], (60, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "draw int, a double, b double, c double")
+    (got,) = inference.joint_wald(df, ("a", "b", "c")).collect()
+    inverse, e = np.linalg.inv(np.cov(drawn.T)), np.array([0.4, -0.2, 0.1])
+    wald = e @ inverse @ e
+    own = np.einsum("ni,ij,nj->n", drawn - e, inverse, drawn - e)
+    assert got["wald"] == pytest.approx(wald) and got["p"] == pytest.approx((1 + (own >= wald).sum()) / 61)
+    assert (got["n_ok"], got["n_failed"]) == (60, 1)
+    assert inference.joint_wald(df.where("false"), ("a", "b", "c")).count() == 0
+
+
+def test_draws_are_those_of_the_bands(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, i, float(v)) for k in "ab" for i, v in enumerate(rng.normal(0, 1, 40))] + [("a", 99, None)], "k string, o int, v double")
+    draws = inference.bootstrap_draws(df, "k", "o", "v", 7, 50)
+    assert draws.count() == 2 * 51
+    bands = {r["key"]: r for r in inference.statistic_bands(draws.withColumnRenamed("k", "key"), ["key"], F.col("mean")).collect()}
+    for r in inference.bootstrap_means(df, "k", "o", "v", 7, 50).collect():
+        b = bands[r["k"]]
+        assert [b["estimate"], b["low"], b["high"], b["error"]] == pytest.approx([r["mean"], r["low"], r["high"], r["error"]])
+
+
+def test_interpolated_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(0, 1, 301).round(2), "b": np.array([5.0]), "c": np.array([1.0, 2.0]), "d": np.repeat([3.0, -3.0, 0.0], [5, 1, 2])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("e", None), (None, 1.0), ("c", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = (0.0, 0.05, 0.5, 0.95, 1.0)
+    frequencies = skew.value_frequencies(df, {"k": F.col("k")}, F.col("v"))
+    got = {(r["k"], r["p"]): r["percentile"] for r in skew.interpolated_percentiles(frequencies, ["k"], at).collect()}
+    assert set(got) == {(k, p) for k in values for p in at}
+    for k, vs in values.items():
+        assert [got[k, p] for p in at] == pytest.approx(np.quantile(vs, at).tolist())
+    assert skew.interpolated_percentiles(frequencies.where("false"), ["k"], at).count() == 0
