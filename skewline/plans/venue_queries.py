@@ -74,10 +74,10 @@ def q_panel_build(spark: SparkSession, folder: str) -> DataFrame:
 def q_tensor_std(spark: SparkSession, folder: str) -> DataFrame:
     """Densities as cells (venue, grid point) standardised over days; a constant cell is divided by one, a missing one is 0."""
     cells = densities(spark, folder).select("date", "venue", F.posexplode("q").alias("i", "v"))
-    over = Window.partitionBy("venue", "i")
-    deviation = F.stddev_pop("v").over(over)
-    z = F.coalesce((F.col("v") - F.avg("v").over(over)) / F.when(deviation < 1e-12, 1.0).otherwise(deviation), F.lit(0.0))
-    return _rounded(cells.select("date", "venue", "i", z.alias("z")), 6)
+    # one row per venue and grid point
+    moments = cells.groupBy("venue", "i").agg(F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_deviation"))
+    z = F.coalesce((F.col("v") - F.col("_mean")) / F.when(F.col("_deviation") < 1e-12, 1.0).otherwise(F.col("_deviation")), F.lit(0.0))
+    return _rounded(cells.join(F.broadcast(moments), ["venue", "i"]).select("date", "venue", "i", z.alias("z")), 6)
 
 
 def q_digitise(spark: SparkSession, folder: str) -> DataFrame:
