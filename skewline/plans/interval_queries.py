@@ -17,6 +17,8 @@ from skewline.sources.tables import table
 PARTS = ("total", "down", "mid", "up")
 #: Target maturities in days, and what is borne outside those of the day.
 TARGETS, SHORTEST, LONGEST = (14, 27, 60), 0.8, 1.2
+#: Days a sample of the term structure needs.
+LEAST_DAYS = 50
 #: Inner edges of the histogram of returns; its outer bins are open.
 EDGES = (-0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3)
 
@@ -111,11 +113,15 @@ def _bucketed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_term_structure(spark: SparkSession, folder: str) -> DataFrame:
-    """The venues' difference in fit error on the volatility index by maturity bucket: on its own days and on days all buckets have."""
+    """The venues' difference in fit error on the volatility index by maturity bucket: on its own days and on days all buckets have.
+
+    Samples of fewer than LEAST_DAYS days are skipped.
+    """
     rows = _bucketed(spark, folder)
     rows = rows.withColumn("n_buckets", F.count(F.lit(1)).over(Window.partitionBy("date")))
     samples = F.when(F.col("n_buckets") == 3, F.array(F.lit("own"), F.lit("common"))).otherwise(F.array(F.lit("own")))
     keyed = rows.select("date", "vix", "wedge", "bucket", F.explode(samples).alias("sample")).withColumn("key", F.concat_ws(" ", "bucket", "sample"))
+    keyed = keyed.withColumn("n_days", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("n_days") >= LEAST_DAYS)
     out = inference.robust_ols(keyed, "key", "date", "wedge", {"vix": F.col("vix")}, LAGS)
     return _rounded(out.select("key", "term", "n", "estimate", "error", "t", "r2"), 6)
 
@@ -249,7 +255,8 @@ SQL = {
     select venue, regime, list_position(['low', 'mid', 'high', 'all'], regime)::int as rank, part, n, {_r("mean", 6)} as mean, {_r("mean / sum(mean) over (partition by venue, regime)", 6)} as share from un""",
     "q_term_structure": _ols(
         _BUCKETS,
-        "select bucket || ' own' as k, date as o, wedge as y, vix as x1 from w3 union all select bucket || ' common', date, wedge, vix from w3 where n_buckets = 3",
+        f"""select * from (select bucket || ' own' as k, date as o, wedge as y, vix as x1 from w3 union all select bucket || ' common', date, wedge, vix from w3 where n_buckets = 3)
+        qualify count(*) over (partition by k) >= {LEAST_DAYS}""",
         "key",
         ["vix"],
         tail=_TERMS,
