@@ -28,12 +28,19 @@ def coverage(df: DataFrame, day: str, fields: list[str], keys: list[str]) -> Dat
 
 
 def correlations(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    """(keys, field_a, field_b, n, correlation) of each pair, over rows where both are known. One pass."""
+    """(keys, field_a, field_b, n, correlation) of each pair, over rows where both are known. One pass.
+
+    NaN where a field has one value only in these rows or spreads less than a double can hold, null where there are none.
+    """
     pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :]]
     aggregates = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggregates += [F.count_if(both).alias(f"_n{i}"), F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"_c{i}")]
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        # F.corr fails where the product of both sums of squares is 0, and merged deviations of a constant can differ from 0
+        constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        aggregates += [F.count_if(both).alias(f"_n{i}"), F.when(constant | (spread == 0), F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / spread).alias(f"_c{i}")]
     rows = F.array(*[F.struct(F.lit(a).alias("field_a"), F.lit(b).alias("field_b"), F.col(f"_n{i}").alias("n"), F.col(f"_c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
     return df.groupBy(*keys).agg(*aggregates).select(*keys, F.inline(rows))
 

@@ -11,9 +11,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from skewline.functions import curves as C
 from skewline.functions import special as S
 from skewline.operators import asof, inference, kernel, options, ordered, panel, skew, surface
+from skewline.plans import panels
 
 D = dt.date(2024, 1, 1)
 
@@ -234,6 +236,29 @@ def test_stars_and_attrition(spark):
     assert [(r["n_before"], r["n_after"]) for r in options.attrition(df, steps).orderBy("step_no").collect()] == [(5, 4), (4, 2)]
 
 
+def test_correlations_of_constant_fields(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(0, 1, 90), rng.normal(0, 1, 90)
+    rows = [("plain", float(a), float(a + b)) for a, b in zip(x, y, strict=True)] + [("plain", 5.0, None), ("plain", None, 5.0)]
+    rows += [("flat", 14.37, float(b)) for b in y] + [("both", 0.1, 0.3)] * 7 + [("one", 1.0, 2.0)] + [("apart", 1.0, None), ("apart", None, 1.0), ("apart", 2.0, None)]
+    rows += [("small", float(a) * 1e-100, float(a + b) * 1e-100) for a, b in zip(x, y, strict=True)] + [("smaller", i * 1e-200, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(7)
+    got = {r["k"]: (r["n"], r["correlation"]) for r in panel.correlations(df, ["x", "y"], ["k"]).collect()}
+    r = np.corrcoef(x, x + y)[0, 1]
+    assert got.pop("plain") == (90, pytest.approx(r)) and got.pop("small") == (90, pytest.approx(r)) and got.pop("apart") == (0, None)
+    assert {k: n for k, (n, _) in got.items()} == {"flat": 90, "both": 7, "one": 1, "smaller": 3} and all(math.isnan(c) for _, c in got.values())
+
+    # q_corr beside its SQL: a feed whose fng never changes, one with one day, one without rv
+    def day(source, i, **odd):
+        values = {c: float(rng.normal(20, 2)) for c in panels.FIELDS} | odd
+        return {"source": source, "date": D + dt.timedelta(i), **values, "loaded_at": dt.datetime(2024, 6, 1)}
+
+    feeds = [day("flat", i, fng=97.0) for i in range(40)] + [day("one", 0)] + [day("norv", i, rv=float("nan")) for i in range(5)] + [day("plain", i) for i in range(40)]
+    pd.DataFrame(feeds).to_parquet(tmp_path / "cleaned_auxiliary.parquet", coerce_timestamps="us")
+    ok, said = oracle.compare(spark, oracle.connect(str(tmp_path)), panels.q_corr, panels.SQL["q_corr"], str(tmp_path))
+    assert ok and said == "24 rows", said
+
+
 def test_robust_ols_equals_plain_sandwiches(spark):
     rng = np.random.default_rng(6)
     n, lags = 80, 5
